@@ -216,6 +216,27 @@ def components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFr
     return rows.join(labels, "print").select("doc_id", "print", "component_id")
 
 
+def representatives(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id; same columns.
+
+    A component whose ids are all null keeps one row. Rows that repeat an id and a fingerprint count as one.
+    """
+    names = docs.columns
+    at = names.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint_of(shingle_hashes(t or b"", size)) for t in cells(b.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=[*names, "_print"])
+
+    groups = components(docs, size, bits)
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("print").alias("_print"))
+    keep = keep.select("_print", F.col("component_id").alias("_id"))
+    rows = docs.mapInArrow(printed, f"{schema}, _print long")
+    return rows.join(keep, (rows["_print"] == keep["_print"]) & rows["doc_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["doc_id", "_print"]).select(*names)
+
+
 def hexadecimal(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 

@@ -279,22 +279,28 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text).
-
-    Null and empty texts have no tokens. Repeated rows give repeated rows, null ids stay null, other columns are not read.
-    """
+def encoded_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: the token ids beside the digests that prove the round trip."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b, ids, own in _encoded(path)(batches):
             sha = lambda x: hashlib.sha256(x).hexdigest()
+            lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(own.decode(x)) for x in ids])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists, pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(own.decode(x)) for x in ids], pa.string())],
+                names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text).
+
+    Null and empty texts have no tokens. Repeated rows give repeated rows, null ids stay null, other columns are not read.
+    """
+    return encoded_digests(docs, path).drop("ids")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
