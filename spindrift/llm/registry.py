@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_secrets import op1_secrets
 from .op2_decontamination import op2_decontamination
 from .op3_simhash import op3_simhash
 from .op5_quality import op5_quality_rules
 from .op6_bpe import op6_bpe
+from .op7_urls import op7_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_simhash, op5_quality_rules, op6_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_simhash, op5_quality_rules, op6_bpe, op7_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
