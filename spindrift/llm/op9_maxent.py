@@ -31,7 +31,7 @@ CLASSES, OWN = 16, 8
 ROWS = 1 << 15
 FREQUENT, LONGEST = 300_000, 64
 ROUNDS = 2
-RATE = 0.3
+RATE = 0.2
 STEP = 8192
 END = b""
 CHUNK = 512
@@ -114,7 +114,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         end_count = next((r["c"] for r in counts.filter(F.length("word") == 0).collect()), 0)
     top = [x for x in top if x[0] != END]
     own = {w: k for k, w in enumerate([END, *[w for w, _ in top[: OWN - 1]]])}
-    kind = F.lit(OWN) + F.pmod(F.crc32(F.expr(f"substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(CLASSES - OWN))
+    kind = F.lit(OWN) + F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(CLASSES - OWN))
     mine = F.lit(None).cast("long")
     for w, k in own.items():
         mine = F.when(F.col("word") == F.lit(bytearray(w)), F.lit(k).cast("long")).otherwise(mine)
@@ -186,7 +186,7 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Trainer:
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights.copy()
-        self.squares = np.full(weights.shape, 1e-6, np.float32)
+        self.squares = np.ones(weights.shape, np.float32)  # so that a row used once moves little
         self.used = np.zeros(len(weights), np.float32)
 
     def step(self, rows: np.ndarray, kinds: np.ndarray) -> None:
@@ -253,10 +253,14 @@ def _added(key, rows: pd.DataFrame) -> pd.DataFrame:
 _PARTS = "chunk long, part long, sums binary, used binary"
 
 
-def train(docs: DataFrame, own: dict[bytes, int], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from all of docs (doc_id, text): each round takes the texts of one residue of a hash of the text."""
-    sc = docs.sparkSession.sparkContext
+def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from all of docs (doc_id, text): each round takes the texts of one residue of a hash of the text.
+
+    The bias starts at the classes' frequencies, the rest at zero.
+    """
+    sc, own = docs.sparkSession.sparkContext, words.own
     weights = np.zeros((ROWS + 1, CLASSES), np.float32)
+    weights[ROWS] = np.log(np.maximum(words.class_tokens, 0.5) / max(words.n, 1))
     for r in range(rounds):
         shared = sc.broadcast(weights)
         rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text").mapInArrow(_gradients(shared, own), _PARTS)
@@ -321,7 +325,7 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.filter(~F.col("held_out"))
     counts = stored(word_counts(training), folder, "words")
     words = vocabulary(counts)
-    model = spark.sparkContext.broadcast((train(training, words.own), words))
+    model = spark.sparkContext.broadcast((train(training, words), words))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double, rare array<struct<word:binary,n:long>>"
     scored = stored(rows.mapInArrow(_scored(model), schema).withColumn("row", F.monotonically_increasing_id()), folder, "scores")
