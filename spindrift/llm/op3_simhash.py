@@ -28,10 +28,13 @@ from .components import connected_components
 SHINGLE = 3
 BITS = 3
 MAX_GROUP = 4096
+SMALL = 64
+#: Near-duplicate removal in a pipeline: five words, and three fingerprints, one of which must be within seven bits.
+NEAR_SHINGLE, NEAR_BITS, NEAR_SEEDS = 5, 7, (42, 43, 44)
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle, repeats included; fewer words than a shingle: one hash of them all; none: no hash."""
+def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than a shingle: one hash of them all; none: no hash."""
     words = text.lower().split()
     n = len(words)
     if n == 0:
@@ -39,9 +42,9 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
     joined = b" ".join(words)
     one = xxhash.xxh64_intdigest
     if n <= size:
-        return np.array([one(joined, 42)], np.uint64)
+        return np.array([one(joined, seed)], np.uint64)
     at = list(accumulate(map(len, words), lambda a, b: a + b + 1, initial=0))
-    return np.array([one(joined[a : z - 1], 42) for a, z in zip(at, at[size:], strict=False)], np.uint64)
+    return np.array([one(joined[a : z - 1], seed) for a, z in zip(at, at[size:], strict=False)], np.uint64)
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -119,6 +122,24 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _thinned(edges: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of edges, so that near copies that meet under many keys leave few links."""
+    root: dict[int, int] = {}
+    out = []
+    for a, b in edges.tolist():
+        x, y = a, b
+        while (r := root.get(x, x)) != x:
+            root[x] = root.get(r, r)
+            x = r
+        while (r := root.get(y, y)) != y:
+            root[y] = root.get(r, r)
+            y = r
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def _variants(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,11 +164,16 @@ def _grouped(bits: int, max_group: int):
     def solve(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        two = starts[sizes == 2]
-        x, y = prints[two], prints[two + 1]
-        ok = (np.bitwise_count(x ^ y) <= bits) & (x != y)
-        edges = list(zip(x[ok].tolist(), y[ok].tolist(), strict=True))
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        pairs = [np.empty((0, 2), np.uint64)]
+        few = np.repeat(sizes <= SMALL, sizes)
+        small_keys, small = keys[few], prints[few]
+        for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):  # all groups at once, by distance within the group
+            x, y = small[:-d], small[d:]
+            near = (small_keys[:-d] == small_keys[d:]) & (np.bitwise_count(x ^ y) <= bits) & (x != y)
+            pairs.append(np.stack([np.minimum(x[near], y[near]), np.maximum(x[near], y[near])], axis=1))
+        edges = np.unique(np.concatenate(pairs), axis=0)
+        edges = _thinned(edges) if len(edges) > 1 else edges.tolist()
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             edges += _forest(np.unique(prints[s : s + n]), bits)
         if edges:
             yield frame([x for x, _ in edges], [y for _, y in edges], [None] * len(edges), [None] * len(edges))
@@ -216,25 +242,63 @@ def components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFr
     return rows.join(labels, "print").select("doc_id", "print", "component_id")
 
 
-def representatives(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id; same columns.
-
-    A component whose ids are all null keeps one row. Rows that repeat an id and a fingerprint count as one.
-    """
+def _printed(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
+    """docs with a fingerprint for each seed, in columns _p0, _p1 and so on."""
     names = docs.columns
     at = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    own = [f"_p{k}" for k in range(len(seeds))]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in own)])
 
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint_of(shingle_hashes(t or b"", size)) for t in cells(b.column(at))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=[*names, "_print"])
-
-    groups = components(docs, size, bits)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("print").alias("_print"))
-    keep = keep.select("_print", F.col("component_id").alias("_id"))
-    rows = docs.mapInArrow(printed, f"{schema}, _print long")
-    return rows.join(keep, (rows["_print"] == keep["_print"]) & rows["doc_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["doc_id", "_print"]).select(*names)
+            raw = [t or b"" for t in cells(b.column(at))]
+            prints = [np.array([fingerprint_of(shingle_hashes(t, size, s)) for t in raw], np.uint64) for s in seeds]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p.view(np.int64)) for p in prints]], names=[*names, *own])
+
+    return docs.mapInArrow(run, schema)
+
+
+def near_components(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
+    """doc_id, its fingerprints _p0.., and component_id, for each row of docs (doc_id, text).
+
+    Fingerprints of several seeds are independent estimates of one similarity, so a pair that one misses by a few bits
+    is mostly caught by another. Two texts link if any of their fingerprints do. Only texts with a link enter the graph.
+    """
+    own = [f"_p{k}" for k in range(len(seeds))]
+    rows = checkpointed(_printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, seeds).drop("text"))
+    tuples = checkpointed(rows.groupBy(*own).agg(F.min("doc_id").alias("first_id")))
+    node = lambda k, c: F.xxhash64(F.lit(k), c)
+    edges = None
+    for k, c in enumerate(own):
+        found = links(tuples.select(F.col(c).alias("print")).distinct(), bits).select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+    edges = checkpointed(edges)
+    nodes = tuples.select("first_id", *own, F.explode(F.array(*[node(k, F.col(c)) for k, c in enumerate(own)])).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    active = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).unionByName(shared).distinct()
+    linked = nodes.join(active, "node", "left_semi").select("first_id", *own).distinct()
+    anchor = node(0, F.col("_p0"))
+    bridges = linked.select(anchor.alias("a"), F.explode(F.array(*[node(k, F.col(c)) for k, c in enumerate(own)])).alias("b")).filter("a <> b")
+    roots = connected_components(edges.unionByName(bridges))
+    labelled = tuples.withColumn("_node", anchor).join(roots, F.col("_node") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_node"))
+    ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.join(labelled.select(*own, "root").join(ids, "root").drop("root"), own)
+
+
+def representatives(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id; same columns.
+
+    A component whose ids are all null keeps one row. Rows that repeat an id and all fingerprints count as one.
+    """
+    own = [f"_p{k}" for k in range(len(seeds))]
+    groups = near_components(docs, size, bits, seeds)
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(*own)).alias("s"))
+    keep = keep.select(F.col("component_id").alias("_id"), "s.*")
+    rows = _printed(docs, size, seeds)
+    same = rows["doc_id"].eqNullSafe(keep["_id"])
+    for c in own:
+        same = same & (rows[c] == keep[c])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", *own]).select(*docs.columns)
 
 
 def hexadecimal(column: str):
