@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, shared_dir, stored, table, texts
+from .common import cells, pieces, shared_dir, stored, table, texts
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # a sample point lies 0 to REACH bytes behind its window's start
 SEGMENT = (1 << 20) - 256  # windows of a segment; positions fit 20 bits
-MAX_BUCKET, BLOCK = 100_000, 40_000
+MAX_BUCKET, BLOCK = 100_000, 20_000
+_BATCH = 2 << 20  # bytes of text handled at a time in a worker
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _WIDTH = REACH + LENGTH  # bytes around a sample point that any of its windows has
@@ -128,7 +129,7 @@ def points_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, unit, ord) for the sample points of segments; a task leaves out a copy of what it has seen from no later row."""
     seen: dict[int, int] = {}
-    for b in batches:
+    for b in pieces(batches, _BATCH):
         keys, units, ords = [], [], []
         for unit, order, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cells(b.column(2)), strict=True):
             if len(raw) < LENGTH or seen.get(unit, 1 << 63) <= order:
@@ -175,7 +176,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin: the piece's first byte, as the column of a row of _WIDTH bytes in which the sample point is column REACH.
     done: how many bytes beyond the gram the key covers.
     """
-    for b in batches:
+    for b in pieces(batches, _BATCH):
         out: list[tuple] = []
         for unit, order, offset, raw, wanted in zip(*(b.column(k).to_pylist() for k in range(3)), cells(b.column(3)), b.column(4).to_pylist(), strict=True):
             keys, at, first, last, _ = points_of(raw)
@@ -399,7 +400,7 @@ def repeated_spans(docs: DataFrame, max_bucket: int = MAX_BUCKET, block: int = B
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, copy, starts, ends: the text without the spans, its own repeats included."""
-    for b in batches:
+    for b in pieces(batches, _BATCH):
         out = []
         for t, copy, starts, ends in zip(cells(b.column(1)), *(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             raw = t or b""
