@@ -90,9 +90,10 @@ def fit(pages: DataFrame, rules=RULES) -> Model:
     if not total["good"] or not total["bad"]:
         return Model(ratios, -math.inf)
     before = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    errors = bins.select("bin", F.coalesce(F.sum("good").over(before), F.lit(0)).alias("lost"), F.coalesce(F.sum("bad").over(before), F.lit(0)).alias("caught"))
-    best = errors.select("bin", (F.col("lost") / total["good"] + 1 - F.col("caught") / total["bad"]).alias("error")).orderBy("error", "bin").first()
-    return Model(ratios, best["bin"] / 1000)
+    gap = F.coalesce(F.lag("bin").over(Window.partitionBy(F.lit(0)).orderBy("bin")) + 1, F.col("bin"))
+    errors = bins.select("bin", gap.alias("gap"), F.coalesce(F.sum("good").over(before), F.lit(0)).alias("lost"), F.coalesce(F.sum("bad").over(before), F.lit(0)).alias("caught"))
+    best = errors.select("bin", "gap", (F.col("lost") / total["good"] + 1 - F.col("caught") / total["bad"]).alias("error")).orderBy("error", "bin").first()
+    return Model(ratios, (best["bin"] + best["gap"]) / 2000)  # the middle of the empty bins below
 
 
 def verdicts(pages: DataFrame, rules=RULES, model: Model | None = None) -> DataFrame:
