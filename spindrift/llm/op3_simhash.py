@@ -29,8 +29,8 @@ SHINGLE = 3
 BITS = 3
 MAX_GROUP = 4096
 SMALL = 64
-#: Near-duplicate removal in a pipeline: five words, and three fingerprints, one of which must be within seven bits.
-NEAR_SHINGLE, NEAR_BITS, NEAR_SEEDS = 5, 7, (42, 43, 44)
+#: Near-duplicate removal in a pipeline: five words, and four fingerprints, one of which must be within seven bits.
+NEAR_SHINGLE, NEAR_BITS, NEAR_SEEDS = 5, 7, (42, 43, 44, 45)
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -259,13 +259,13 @@ def _printed(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
 
 
 def near_components(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
-    """doc_id, its fingerprints _p0.., and component_id, for each row of docs (doc_id, text).
+    """doc_id, _t (a hash of the text), fingerprints _p0.. and component_id, for each row of docs (doc_id, text).
 
     Fingerprints of several seeds are independent estimates of one similarity, so a pair that one misses by a few bits
     is mostly caught by another. Two texts link if any of their fingerprints do. Only texts with a link enter the graph.
     """
     own = [f"_p{k}" for k in range(len(seeds))]
-    rows = checkpointed(_printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, seeds).drop("text"))
+    rows = checkpointed(_printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t")), size, seeds).drop("text"))
     tuples = checkpointed(rows.groupBy(*own).agg(F.min("doc_id").alias("first_id")))
     node = lambda k, c: F.xxhash64(F.lit(k), c)
     edges = None
@@ -288,17 +288,14 @@ def near_components(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_
 def representatives(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id; same columns.
 
-    A component whose ids are all null keeps one row. Rows that repeat an id and all fingerprints count as one.
+    A component whose ids are all null keeps one row, and so do rows that repeat an id and a text.
     """
-    own = [f"_p{k}" for k in range(len(seeds))]
     groups = near_components(docs, size, bits, seeds)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(*own)).alias("s"))
-    keep = keep.select(F.col("component_id").alias("_id"), "s.*")
-    rows = _printed(docs, size, seeds)
-    same = rows["doc_id"].eqNullSafe(keep["_id"])
-    for c in own:
-        same = same & (rows[c] == keep[c])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", *own]).select(*docs.columns)
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_t").alias("_own"))
+    keep = keep.select(F.col("component_id").alias("_id"), "_own")
+    rows = docs.withColumn("_t", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_t"] == keep["_own"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
 
 
 def hexadecimal(column: str):
