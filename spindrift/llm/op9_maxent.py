@@ -32,7 +32,8 @@ ROWS = 1 << 15
 FREQUENT, LONGEST = 300_000, 64
 ROUNDS = 2
 RATE = 0.2
-STEP = 8192
+STEP = 16384
+ROOM = 200_000  # words beside the frequent ones that a worker remembers
 END = b""
 CHUNK = 512
 _FAN = 64
@@ -125,6 +126,15 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(b" ".join(w for w, _ in top), np.array([c for _, c in top], np.int64), end_count, int(least), own, tokens, words)
 
 
+class _Numbers(dict):
+    """Numbers words as they come and lists the new ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Lexicon:
     """Numbers of words within a Python worker: frequent ones first, others as they come, forgotten when there are many."""
 
@@ -134,25 +144,29 @@ class Lexicon:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers = dict(zip(self.base, range(len(self.base)), strict=True))
-        self.hashes = [zlib.crc32(w) for w in self.base]
-        self.kinds = [word_class(w, self.own) for w in self.base]
-        self._arrays()
-
-    def _arrays(self) -> None:
-        self.hash_array, self.kind_array = np.array(self.hashes, np.uint32), np.array(self.kinds, np.int64)
+        self.numbers = _Numbers(zip(self.base, range(len(self.base)), strict=True))
+        self.numbers.fresh = []
+        room = len(self.base) + 2 * ROOM
+        self.hash_array, self.kind_array = np.zeros(room, np.uint32), np.zeros(room, np.int64)
+        self._fill(0, self.base)
+
+    def _fill(self, at: int, words: list[bytes]) -> None:
+        end = at + len(words)
+        if end > len(self.hash_array):
+            self.hash_array, self.kind_array = np.resize(self.hash_array, 2 * end), np.resize(self.kind_array, 2 * end)
+        self.hash_array[at:end] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        self.kind_array[at:end] = np.fromiter((word_class(w, self.own) for w in words), np.int64, len(words))
 
     def number(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > len(self.base) + 200_000:
-            self.reset()
         numbers = self.numbers
-        if fresh := set(words).difference(numbers):
-            for w in fresh:
-                numbers[w] = len(numbers)
-                self.hashes.append(zlib.crc32(w))
-                self.kinds.append(word_class(w, self.own))
-            self._arrays()
-        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if len(numbers) > len(self.base) + ROOM:
+            self.reset()
+            numbers = self.numbers
+        out = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if numbers.fresh:
+            self._fill(len(numbers) - len(numbers.fresh), numbers.fresh)
+            numbers.fresh.clear()
+        return out
 
 
 # --- model -----------------------------------------------------------------------------------------------------------
@@ -193,11 +207,11 @@ class Trainer:
         n = len(kinds)
         gradient = np.exp(log_softmax(self.weights, rows))
         gradient[np.arange(n), kinds] -= 1
-        every = rows.T.ravel()
+        every = rows.T.ravel().astype(np.uint16)  # a radix sort
         order = np.argsort(every, kind="stable")
         ordered = every[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        at = np.r_[ordered[starts], ROWS]
+        at = np.r_[ordered[starts].astype(np.int64), ROWS]
         times = np.r_[np.diff(np.r_[starts, len(ordered)]), n].astype(np.float32)
         sums = np.concatenate([np.add.reduceat(gradient[order % n], starts, axis=0), gradient.sum(axis=0, keepdims=True)])
         sums /= np.sqrt(times)[:, None]
