@@ -259,7 +259,7 @@ def _printed(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
 
 
 def near_components(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
-    """doc_id, _t (a hash of the text), fingerprints _p0.. and component_id, for each row of docs (doc_id, text).
+    """doc_id, _t (a hash of the text), fingerprints _p0.., root and component_id, for each row of docs (doc_id, text).
 
     Fingerprints of several seeds are independent estimates of one similarity, so a pair that one misses by a few bits
     is mostly caught by another. Two texts link if any of their fingerprints do. Only texts with a link enter the graph.
@@ -282,7 +282,7 @@ def near_components(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_
     roots = connected_components(edges.unionByName(bridges))
     labelled = tuples.withColumn("_node", anchor).join(roots, F.col("_node") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_node"))
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(labelled.select(*own, "root").join(ids, "root").drop("root"), own)
+    return rows.join(labelled.select(*own, "root").join(ids, "root"), own)
 
 
 def representatives(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
@@ -291,8 +291,7 @@ def representatives(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_
     A component whose ids are all null keeps one row, and so do rows that repeat an id and a text.
     """
     groups = near_components(docs, size, bits, seeds)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_t").alias("_own"))
-    keep = keep.select(F.col("component_id").alias("_id"), "_own")
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("_id"), F.min("_t").alias("_own"))
     rows = docs.withColumn("_t", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_t"] == keep["_own"])
     return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)

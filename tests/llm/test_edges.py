@@ -61,3 +61,9 @@ def test_stages_keep_columns(spark, stage):
     assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
     assert got.filter(F.col("doc_id") == 7).count() == 1
     assert stage(docs.limit(0)).count() == 0
+
+
+def test_texts_without_ids_stay(spark):
+    """Each component keeps a row, also where no row has an id; blank texts are one component, repeated rows one row."""
+    got = [(r.doc_id, r.text) for r in op3_simhash.representatives(spark.createDataFrame(odd_documents(), SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(1, None), (None, "a null id has a text of its own"), (4, "same row"), (5, "é😀 \u3000 ß")], key=str)
