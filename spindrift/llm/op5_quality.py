@@ -36,7 +36,7 @@ class QualityPolicy:
     max_repeat_percent: int = 50
     max_docs_per_host: int = 30
     min_spread: float = 0.5
-    max_removed_share: float = 0.5
+    max_removed_share: float = 0.7
 
 
 def normal_line(line: bytes) -> bytes:

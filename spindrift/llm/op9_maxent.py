@@ -109,7 +109,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if taken + b["words"] > FREQUENT:
             break
         least, taken = b["least"], taken + b["words"]
-    top = sorted(((bytes(r["word"]), r["c"]) for r in short.filter(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+    found = short.filter(F.col("c") >= least).toArrow()
+    top = sorted(zip(cells(found.column("word")), found.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     end_count = next((c for w, c in top if w == END), 0)
     if not end_count:
         end_count = next((r["c"] for r in counts.filter(F.length("word") == 0).collect()), 0)

@@ -45,4 +45,13 @@ s AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS sha
 SELECT x.doc_id, x.n_bytes, 's' || x.prefix AS shard, x.depth, s.shard_bytes, s.shard_docs, s.shard_bytes <= {LIMIT} AS fits FROM x JOIN s USING (depth, prefix)
 WHERE s.shard_bytes <= {LIMIT} OR x.depth = 60 QUALIFY row_number() OVER (PARTITION BY x.doc_id ORDER BY x.depth) = 1"""
 
-ORACLES = {"op2_decontamination": _OP2, "op4_warc": _OP4, "op10_sharding": _OP10}
+_OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i AS s, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i <= length(h) // 2 - 100 THEN md5_number(substr(h, 2 * i + 1, 200)) END AS w FROM d, unnest(range(length(h) // 2)) t(i)),
+f AS (SELECT doc_id, s, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1 AS again FROM p),
+g AS (SELECT doc_id, s, b, max(again::INT) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, (gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY s), 0) = 0)::INT AS begins FROM g),
+r AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, sum(begins)::BIGINT AS n_spans, string_agg(b, '' ORDER BY s) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY 1)
+SELECT doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+ORACLES = {"op2_decontamination": _OP2, "op4_warc": _OP4, "op8_substrings": _OP8, "op10_sharding": _OP10}
