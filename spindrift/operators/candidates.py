@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signatures as S
+from ..functions.vectors import dot
 
 #: Fixed limits of the cascade.
 LIGHT, TOP_K, LSH_CANDIDATES, EXACT_LIMIT = 120, 48, 2500, 15_000
@@ -39,13 +40,18 @@ def ranked(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFram
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def band_candidates(index: DataFrame, queries: DataFrame, key: str, k: int = LIGHT) -> DataFrame:
-    """(query_id, cand_id, hits, rank): keys that share a band with a query, most bands first, then the largest key."""
-    asked = index.join(queries.select(key), key, "left_semi").select(F.col(key).alias("query_id"), "band", "value")
-    hits = asked.join(index.select(F.col(key).alias("cand_id"), "band", "value"), ["band", "value"]).filter("query_id <> cand_id").groupBy("query_id", "cand_id").agg(F.count(F.lit(1)).alias("hits"))
+def band_search(asked: DataFrame, index: DataFrame, key: str, k: int = LIGHT) -> DataFrame:
+    """(query_id, cand_id, hits, rank): keys of an index that share a band with a key of another, most bands first, then the largest key."""
+    q = asked.select(F.col(key).alias("query_id"), "band", "value")
+    hits = q.join(index.select(F.col(key).alias("cand_id"), "band", "value"), ["band", "value"]).filter("query_id <> cand_id").groupBy("query_id", "cand_id").agg(F.count(F.lit(1)).alias("hits"))
     return ranked(hits, "query_id", [F.desc("hits"), F.desc("cand_id")], k)
 
 
+def band_candidates(index: DataFrame, queries: DataFrame, key: str, k: int = LIGHT) -> DataFrame:
+    """band_search of the index's own keys that queries name."""
+    return band_search(index.join(queries.select(key), key, "left_semi"), index, key, k)
+
+
 def best_pairs(candidates: DataFrame, signatures: DataFrame, key: str) -> DataFrame:
     """(query_id, cand_id, p, d, light): the pair of views that maximises p + d / 4, the first on ties, and its light rank."""
     own = signatures.select(F.col(key).alias("query_id"), F.col("ord").alias("qo"), F.col("phash").alias("qp"), F.col("dhash").alias("qd"))
@@ -107,15 +113,17 @@ def lsh_votes(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return band_candidates(band_index(hashed, key, "hash"), queries, key, k)
 
 
-def rescored(candidates: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = TOP_K) -> DataFrame:
-    """Exact cosine of given candidates, best k of each query."""
+def scored(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(query_id, cand_id, score): exact cosine of given pairs, rounded to 6 digits; zero vectors score 0."""
     x = lambda name, id_: vectors.select(F.col(key).alias(id_), F.col(vector).alias(name))
-    pairs = candidates.select("query_id", "cand_id").join(x("a", "query_id"), "query_id").join(x("b", "cand_id"), "cand_id")
-    from ..functions.vectors import dot
-
+    rows = pairs.select("query_id", "cand_id").join(x("a", "query_id"), "query_id").join(x("b", "cand_id"), "cand_id")
     norms = F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b")))
-    scored = pairs.select("query_id", "cand_id", F.round(F.when(norms < 1e-16, 0.0).otherwise(dot(F.col("a"), F.col("b")) / norms), 6).alias("score"))
-    return ranked(scored, "query_id", [F.desc("score"), F.desc("cand_id")], k)
+    return rows.select("query_id", "cand_id", F.round(F.when(norms < 1e-16, 0.0).otherwise(dot(F.col("a"), F.col("b")) / norms), 6).alias("score"))
+
+
+def rescored(candidates: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = TOP_K) -> DataFrame:
+    """Exact cosine of given candidates, best k of each query."""
+    return ranked(scored(candidates, vectors, key, vector), "query_id", [F.desc("score"), F.desc("cand_id")], k)
 
 
 def exact_or_lsh(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = TOP_K, exact_limit: int = EXACT_LIMIT) -> DataFrame:
@@ -136,8 +144,6 @@ def mutual_matches(vectors: DataFrame, key: str, vector: str, label: str, ratio:
 
     The test is on distances of unit vectors, in both directions. The even keys of a label meet its odd keys only.
     """
-    from ..functions.vectors import dot
-
     rows = vectors.select(F.col(key), F.col(label), F.col(vector).alias("x"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"))
     a = rows.filter(F.col(key) % 2 == 0).select(label, F.col(key).alias("a_id"), F.col("x").alias("ax"), F.col("norm").alias("an"))
     b = rows.filter(F.col(key) % 2 == 1).select(label, F.col(key).alias("b_id"), F.col("x").alias("bx"), F.col("norm").alias("bn"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, coverage, digests, dml, feedback, fusion, link, quality
+from ..operators import candidates, clusters, coverage, digests, dml, feedback, fusion, link, quality
 from ..sources import exports
 from ..sources.tables import load
+from . import check
 from .oracles import ORACLES
 
 #: Searches ask for every vector whose id is divisible by this, against all vectors.
@@ -110,6 +111,29 @@ def knn_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.mutual_matches(_vectors(spark, sf_dir), "vec_id", "embedding", "label", 0.99)
 
 
+#: Ids of altered copies start here.
+COPIES = 1_000_000
+
+
+def _altered(vectors: DataFrame) -> DataFrame:
+    """Copies of the asked vectors: every eighth element 0, but unchanged where the id is divisible by 100."""
+    gone = F.transform("embedding", lambda x, i: F.when((i % 8 == 0) & (F.col("vec_id") % 100 != 0), F.lit(0.0).cast("float")).otherwise(x))
+    return _asked(vectors).select((F.col("vec_id") + COPIES).alias("vec_id"), gone.alias("embedding"))
+
+
+def check_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Altered copies checked against the whole library."""
+    v = _vectors(spark, sf_dir)
+    return check.check(_altered(v), v.select("vec_id", "embedding"), "vec_id", "embedding")
+
+
+def import_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as records in order; a turn matches the turn before it unless a system turn parts them."""
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "turn")
+    matches = rows.filter("turn > 0 AND role <> 'system'").select(F.col("id").alias("new_id"), (F.col("id") - 1).alias("old_id"), F.lit(95.0).alias("score"), F.lit(True).alias("strong"), F.lit(True).alias("learn_safe"))
+    return clusters.imported(rows, matches.join(rows.select(F.col("id").alias("old_id")), "old_id", "left_semi"), "id")
+
+
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
     """Signal rows made from all events: each signal is a residue of the id, so that every rule has rows on both sides."""
     percent = lambda a, b, low: low + (F.col("event_id") * a + b) % 1000 * ((100 - low) / 1000.0)
@@ -256,7 +280,7 @@ def record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    dup_documents, digest_any, insert_if_absent, coverage_stats, label_backlog, orphan_keys, sig_views, band_index, band_candidates, hamming_best_pair, cosine_topk, simhash_lsh_vote, exact_or_lsh, lsh_rescored, candidate_union, knn_mutual,
+    dup_documents, digest_any, insert_if_absent, coverage_stats, label_backlog, orphan_keys, sig_views, band_index, band_candidates, hamming_best_pair, cosine_topk, simhash_lsh_vote, exact_or_lsh, lsh_rescored, candidate_union, knn_mutual, check_library, import_clusters,
     fusion_scores, fusion_verdict, veto, exclusion_filter, review_transition, merge_upsert, audit_log, field_conflicts, label_parse, short_text_filter, sender_carry_forward, reply_chain4, lookback7, latest_asof, interval_pair, consume_once, ttl_expiry, html_extract, entropy_quality, record_text,
 )
 

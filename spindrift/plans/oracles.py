@@ -77,7 +77,37 @@ _TURNS = """
 t AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n, role = 'system' AS service, length(coalesce(text, '')) % 3 = 0 AS joined,
       CASE WHEN length(coalesce(text, '')) % 4 = 0 THEN length(coalesce(text, '')) END AS media, length(coalesce(text, '')) % 5 = 0 AS record FROM conversations)"""
 
+_FUSE = "f1 AS" + _SIGNALS.split("f1 AS", 1)[1]
+_EMB = """
+emb AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL
+        SELECT vec_id + 1000000, list_transform(range(64), lambda i: CASE WHEN i % 8 = 0 AND vec_id % 100 <> 0 THEN 0.0 ELSE embedding[i + 1] END)::DOUBLE[] FROM embeddings WHERE vec_id % 20 = 0)"""
+
+
+def _apart(sql: str) -> str:
+    """The same search, of altered copies in the library."""
+    return sql.replace("FROM embeddings", "FROM emb").replace("q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id", "q.vec_id >= 1000000 AND c.vec_id < 1000000").replace("JOIN ce c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0", "JOIN ce c ON q.vec_id >= 1000000 AND c.vec_id < 1000000")
+
+
+_CHECK = f"""
+WITH {_EMB}, {_apart(_BANDS)}, {_apart(_COSINE)},
+dg AS (SELECT vec_id, string_agg(ord::VARCHAR || ':' || phash || ':' || dhash, ',' ORDER BY ord) AS dig FROM sv GROUP BY 1),
+same AS (SELECT q.vec_id AS query_id, min(c.vec_id) AS cand_id FROM dg q JOIN dg c USING (dig) WHERE q.vec_id >= 1000000 AND c.vec_id < 1000000 GROUP BY 1),
+pr AS (SELECT query_id, cand_id FROM cand UNION SELECT query_id, cand_id FROM ck),
+hm AS (SELECT c.query_id, c.cand_id, a.ord AS qo, z.ord AS co, 100.0::DOUBLE * (1 - (bit_count(xor(('0x' || a.phash)::UBIGINT, ('0x' || z.phash)::UBIGINT)))::DOUBLE / 64) AS p, 100.0::DOUBLE * (1 - (bit_count(xor(('0x' || a.dhash)::UBIGINT, ('0x' || z.dhash)::UBIGINT)))::DOUBLE / 64) AS d
+       FROM pr c JOIN sv a ON a.vec_id = c.query_id JOIN sv z ON z.vec_id = c.cand_id),
+bp AS (SELECT query_id, cand_id, p, d FROM hm QUALIFY row_number() OVER (PARTITION BY query_id, cand_id ORDER BY p + 0.25::DOUBLE * d DESC, qo, co) = 1),
+sg AS (SELECT query_id, cand_id, p, d, 0::DOUBLE AS roi, 0::DOUBLE AS hist, 0::DOUBLE AS orb, 0::DOUBLE AS ai, greatest(0, 100 * score)::DOUBLE AS cp, 0::DOUBLE AS g, 0 AS inl, 0::DOUBLE AS rat, 0::DOUBLE AS cq, 0::DOUBLE AS cc, 0::DOUBLE AS ssim, 0::DOUBLE AS ov, false AS sane, false AS low FROM bp JOIN cs USING (query_id, cand_id)),
+{_FUSE},
+b AS (SELECT * REPLACE (round(score, 6) AS score) FROM fu WHERE query_id NOT IN (SELECT query_id FROM same) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, cand_id DESC) = 1)
+SELECT query_id, cand_id, CASE WHEN score >= 85 THEN round(score, 2) ELSE 0.0::DOUBLE END AS score, CASE WHEN score >= 85 THEN 'similar' ELSE 'new' END AS verdict,
+  CASE WHEN score < 85 THEN NULL WHEN cp >= 82 AND cp >= greatest(g, p) THEN 'copy_model' WHEN g >= 84 THEN 'local_match' WHEN p >= 92 THEN 'high_similarity' ELSE 'visual_similarity' END AS match_type, CASE WHEN score >= 90 THEN 'confirm' WHEN score >= 85 THEN 'review' ELSE 'none' END AS action FROM b
+UNION ALL SELECT query_id, cand_id, 100.0::DOUBLE, 'same', 'digest', 'confirm' FROM same"""
+
 ORACLES = {
+    "check_library": _CHECK,
+    "import_clusters": """
+        WITH RECURSIVE r AS (SELECT conv_id * 1000 + turn AS id, role, turn FROM conversations), p AS (SELECT id, id - 1 AS up FROM r WHERE turn > 0 AND role <> 'system' AND id - 1 IN (SELECT id FROM r)),
+        w AS (SELECT id, id AS cluster_id FROM r WHERE id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, w.cluster_id FROM w JOIN p ON p.up = w.id) SELECT id, cluster_id FROM w""",
     "dup_documents": """
         SELECT d.doc_id, c.canonical_id FROM documents d
         JOIN (SELECT md5(text) AS k, min(doc_id) AS canonical_id, count(*) AS n FROM documents GROUP BY 1) c ON md5(d.text) = c.k WHERE c.n > 1""",

@@ -9,11 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.functions import pixels
+from spindrift.functions import geometry, pixels
 from spindrift.functions import signatures as S
 from spindrift.functions import text as T
 from spindrift.functions import vectors
-from spindrift.operators import candidates, coverage, digests, dml, feedback, fusion, link
+from spindrift.operators import candidates, clusters, coverage, digests, dml, feedback, fusion, link
 
 
 def test_hamming_and_bands(spark):
@@ -194,3 +194,40 @@ def test_pixels(spark):
     df = spark.createDataFrame([(64, 80, noisy.tobytes()), (1, 1, b"xx"), (None, 1, None)], "h int, w int, d binary")
     got = [r.v for r in df.select(pixels.image_views(F.col("h"), F.col("w"), F.col("d")).alias("v")).collect()]
     assert [v.phash for v in got[0]] == [p for _, p, _ in pixels.views(noisy)] and got[1] is None and got[2] is None
+
+
+def _frames(seed: int, n: int = 60):
+    rng = np.random.default_rng(seed)
+    points = rng.uniform(20, 280, (n, 2))
+    desc = rng.standard_normal((n, 32)).astype(np.float64)
+    shift = np.array([[1.1, 0.05, 8], [-0.04, 0.95, 5], [1e-4, 0, 1]])
+    z = np.c_[points, np.ones(n)] @ shift.T
+    return points, desc, z[:, :2] / z[:, 2:], desc + rng.standard_normal(desc.shape) * 0.02
+
+
+def test_geometry(spark):
+    p, dp, q, dq = _frames(4)
+    m = geometry.verify(p, dp, (300, 300), q, dq, (300, 330))
+    assert m.sane and m.inliers == 60 and m.score >= 97
+    other = np.random.default_rng(9)
+    wrong = geometry.verify(p, dp, (300, 300), other.uniform(0, 300, (60, 2)), other.standard_normal((60, 32)), (300, 300))
+    assert wrong.score < 75 and wrong.inliers < 7
+    assert geometry.verify(p[:5], dp[:5], (300, 300), q, dq, (300, 300)).score == 0
+    assert geometry.score(18, 0.52, 30, 0.025, 0.10, True) > 90 > geometry.score(17, 0.52, 30, 0.025, 0.10, True)
+    bits = other.integers(0, 256, (40, 32), dtype=np.uint8)
+    assert geometry.binary_score(bits, bits) == 100 and geometry.binary_score(bits, bits[:4]) == 0
+    mirrored = p * [-1, 1] + [300, 0]
+    lists = lambda x: [[float(v) for v in row] for row in x]
+    rows = [(1, 2, lists(mirrored), lists(dp), lists(q), lists(dq), 300, 300, 300, 330), (1, 3, None, None, lists(q), lists(dq), 300, 300, 300, 330)]
+    df = spark.createDataFrame(rows, "query_id long, cand_id long, points_q array<array<float>>, desc_q array<array<float>>, points_c array<array<float>>, desc_c array<array<float>>, height_q int, width_q int, height_c int, width_c int")
+    got = {r.cand_id: r for r in geometry.verified(df).collect()}
+    assert got[2].geometry >= 97 and got[3].geometry == 0
+
+
+def test_clusters(spark):
+    rows = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
+    found = [(2, 1, 95.0, True, True), (3, 2, 95.0, True, True), (3, 1, 91.0, True, True), (5, 4, 99.0, True, False), (6, 5, 89.0, True, True), (7, 8, 99.0, True, True), (8, 3, 92.0, True, True)]
+    m = spark.createDataFrame(found, "new_id long, old_id long, score double, strong boolean, learn_safe boolean")
+    assert {r.id: r.cluster_id for r in clusters.imported(rows, m, "id").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 1}
+    with pytest.raises(RuntimeError):
+        clusters.resolve(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), 5)
