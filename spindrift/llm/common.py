@@ -65,12 +65,17 @@ def cells(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that none holds much more than max_bytes, or one row."""
+def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that none holds much more than max_bytes, or one row, and gives memory back behind each batch.
+
+    What a worker makes of a text is several times the text, and workers keep what they once had.
+    """
     for batch in batches:
         rows = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def signed(values) -> np.ndarray:

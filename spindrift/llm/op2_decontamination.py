@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, checkpointed, shared_dir, stored, table, texts
+from .common import cells, checkpointed, pieces, shared_dir, stored, table, texts
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -128,7 +128,7 @@ _SCAN = "n_words long, text_key string, runs array<int>, items array<string>"
 def _scan(shared, with_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.automaton()
-        for b in batches:
+        for b in pieces(batches):
             n, keys, runs, items = [], [], [], []
             for t in cells(b.column(b.num_columns - 1)):
                 words = words_of(t or b"")
@@ -213,7 +213,7 @@ def _without(docs: DataFrame, shared: _Shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.automaton()
-        for b in batches:
+        for b in pieces(batches):
             yield b.take(pa.array([i for i, t in enumerate(cells(b.column(at))) if not machine.scan(words_of(t or b""))[0]], pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, checkpointed, table, texts
+from .common import cells, checkpointed, pieces, table, texts
 from .components import connected_components
 
 SHINGLE = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and the fingerprint as a long, a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             prints = np.array([fingerprint_of(shingle_hashes(t or b"", size)) for t in cells(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
 
@@ -250,7 +250,7 @@ def _printed(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             raw = [t or b"" for t in cells(b.column(at))]
             prints = [np.array([fingerprint_of(shingle_hashes(t, size, s)) for t in raw], np.uint64) for s in seeds]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p.view(np.int64)) for p in prints]], names=[*names, *own])

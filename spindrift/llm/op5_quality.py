@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, shared_dir, signed, stored, table, texts
+from .common import cells, pieces, shared_dir, signed, stored, table, texts
 
 SYMBOLS = b"#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -82,7 +82,7 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = [(*base_figures(t or b""), text_key(t or b"")) for t in cells(b.column(2))]
         out = np.array(rows, dtype=np.uint64).reshape(-1, 6).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(out[:, k]) for k in range(6)]], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key"])
@@ -90,7 +90,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct line with a word of each text, with the words that all its occurrences hold."""
-    for b in batches:
+    for b in pieces(batches):
         at: list[int] = []
         line: list[int] = []
         words: list[int] = []
@@ -160,7 +160,7 @@ def _clean(policy: QualityPolicy, names: list[str]):
     text_at, key_at = names.index("text"), names.index("removed_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keep: list[int] = []
             out: list[bytes] = []
             for i, (t, gone) in enumerate(zip(cells(b.column(text_at)), b.column(key_at).to_pylist(), strict=True)):
@@ -198,7 +198,7 @@ def clean(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
-        for b in batches:
+        for b in pieces(batches):
             keys = pa.array(signed([text_key(t or b"") for t in cells(b.column(at))]))
             yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*names, "text_key"])
 
