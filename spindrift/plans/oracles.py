@@ -95,12 +95,12 @@ same AS (SELECT q.vec_id AS query_id, min(c.vec_id) AS cand_id FROM dg q JOIN dg
 pr AS (SELECT query_id, cand_id FROM cand UNION SELECT query_id, cand_id FROM ck),
 hm AS (SELECT c.query_id, c.cand_id, a.ord AS qo, z.ord AS co, 100.0::DOUBLE * (1 - (bit_count(xor(('0x' || a.phash)::UBIGINT, ('0x' || z.phash)::UBIGINT)))::DOUBLE / 64) AS p, 100.0::DOUBLE * (1 - (bit_count(xor(('0x' || a.dhash)::UBIGINT, ('0x' || z.dhash)::UBIGINT)))::DOUBLE / 64) AS d
        FROM pr c JOIN sv a ON a.vec_id = c.query_id JOIN sv z ON z.vec_id = c.cand_id),
-bp AS (SELECT query_id, cand_id, p, d FROM hm QUALIFY row_number() OVER (PARTITION BY query_id, cand_id ORDER BY p + 0.25::DOUBLE * d DESC, qo, co) = 1),
-sg AS (SELECT query_id, cand_id, p, d, 0::DOUBLE AS roi, 0::DOUBLE AS hist, 0::DOUBLE AS orb, 0::DOUBLE AS ai, greatest(0, 100 * score)::DOUBLE AS cp, 0::DOUBLE AS g, 0 AS inl, 0::DOUBLE AS rat, 0::DOUBLE AS cq, 0::DOUBLE AS cc, 0::DOUBLE AS ssim, 0::DOUBLE AS ov, false AS sane, false AS low FROM bp JOIN cs USING (query_id, cand_id)),
+bq AS (SELECT query_id, cand_id, p, d FROM hm QUALIFY row_number() OVER (PARTITION BY query_id, cand_id ORDER BY p + 0.25::DOUBLE * d DESC, qo, co) = 1),
+sg AS (SELECT query_id, cand_id, p, d, 0::DOUBLE AS roi, 0::DOUBLE AS hist, 0::DOUBLE AS orb, 0::DOUBLE AS ai, greatest(0, 100 * score)::DOUBLE AS cp, 0::DOUBLE AS g, 0 AS inl, 0::DOUBLE AS rat, 0::DOUBLE AS cq, 0::DOUBLE AS cc, 0::DOUBLE AS ssim, 0::DOUBLE AS ov, false AS sane, false AS low FROM bq JOIN cs USING (query_id, cand_id)),
 {_FUSE},
-b AS (SELECT * REPLACE (round(score, 6) AS score) FROM fu WHERE query_id NOT IN (SELECT query_id FROM same) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, cand_id DESC) = 1)
+pick AS (SELECT * REPLACE (round(score, 6) AS score) FROM fu WHERE query_id NOT IN (SELECT query_id FROM same) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, cand_id DESC) = 1)
 SELECT query_id, cand_id, CASE WHEN score >= 85 THEN round(score, 2) ELSE 0.0::DOUBLE END AS score, CASE WHEN score >= 85 THEN 'similar' ELSE 'new' END AS verdict,
-  CASE WHEN score < 85 THEN NULL WHEN cp >= 82 AND cp >= greatest(g, p) THEN 'copy_model' WHEN g >= 84 THEN 'local_match' WHEN p >= 92 THEN 'high_similarity' ELSE 'visual_similarity' END AS match_type, CASE WHEN score >= 90 THEN 'confirm' WHEN score >= 85 THEN 'review' ELSE 'none' END AS action FROM b
+  CASE WHEN score < 85 THEN NULL WHEN cp >= 82 AND cp >= greatest(g, p) THEN 'copy_model' WHEN g >= 84 THEN 'local_match' WHEN p >= 92 THEN 'high_similarity' ELSE 'visual_similarity' END AS match_type, CASE WHEN score >= 90 THEN 'confirm' WHEN score >= 85 THEN 'review' ELSE 'none' END AS action FROM pick
 UNION ALL SELECT query_id, cand_id, 100.0::DOUBLE, 'same', 'digest', 'confirm' FROM same"""
 
 ORACLES = {
