@@ -14,6 +14,7 @@ one row for each distinct word of a text. So nothing on the driver or in a worke
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -63,7 +64,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-        for b in batches:
+        for b in pieces(batches):
             for t in cells(b.column(0)):
                 counts.update(tokens_of(t or b""))
                 if len(counts) > 300_000:
@@ -294,10 +295,21 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 
-def _scored(model):
+_KEPT: dict[str, Lexicon] = {}
+
+
+def _lexicon(name: str, words: Vocabulary) -> Lexicon:
+    """The frequent words' numbers, built once in each Python worker."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Lexicon(words, words.own)
+    return _KEPT[name]
+
+
+def _scored(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, words = model.value
-        lexicon = Lexicon(words, words.own)
+        lexicon = _lexicon(name, words)
         known = len(lexicon.base)
         counts = np.concatenate([[words.end_count], words.counts])
         floor = np.log10(words.class_tokens + words.class_words + 1)
@@ -315,12 +327,16 @@ def _scored(model):
             add = lambda x: np.add.reduceat(x, starts)
             rare_at = np.flatnonzero(~frequent)
             cut = np.searchsorted(rare_at, np.r_[starts, len(numbers)])
-            rare = []
+            rare_words, rare_counts, ends = [], [], [0]
             for k, x in enumerate(lists):
-                own = Counter([x[i] for i in (rare_at[cut[k] : cut[k + 1]] - starts[k]).tolist()])
-                rare.append([{"word": w, "n": n} for w, n in own.items()])
+                if cut[k] < cut[k + 1]:
+                    own = Counter([x[i] for i in (rare_at[cut[k] : cut[k + 1]] - starts[k]).tolist()])
+                    rare_words += own
+                    rare_counts += own.values()
+                ends.append(len(rare_words))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(log_class / np.log(10) - floor[kinds])), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                [b.column(0), b.column(1), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(log_class / np.log(10) - floor[kinds])), rare],
                 names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"],
             )
 
@@ -343,7 +359,7 @@ def score(docs: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast((train(training, words), words))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double, rare array<struct<word:binary,n:long>>"
-    scored = stored(rows.mapInArrow(_scored(model), schema).withColumn("row", F.monotonically_increasing_id()), folder, "scores")
+    scored = stored(rows.mapInArrow(_scored(model, uuid.uuid4().hex), schema).withColumn("row", F.monotonically_increasing_id()), folder, "scores")
     unusual = counts.filter((F.col("c") < words.least) | (F.length("word") > LONGEST))
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(unusual, "word")
     sums = rare.groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))
