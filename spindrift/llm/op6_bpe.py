@@ -149,7 +149,7 @@ def slices(texts_: list[bytes]) -> list[list[bytes]]:
 class Encoder:
     """Pair merging by ranks, cached by slice."""
 
-    def __init__(self, path: str, cache_size: int = 200_000) -> None:
+    def __init__(self, path: str, cache_size: int = 300_000) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
