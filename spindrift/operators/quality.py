@@ -1,22 +1,25 @@
-"""Information content of texts and of pixel arrays."""
+"""Information content of texts."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _bits(texts: pd.Series) -> pd.Series:
+    """Shannon entropy of each text's characters; counting them in one pass beats a pass for each distinct one on the JVM."""
+    return pd.Series([-sum(k / len(t) * math.log2(k / len(t)) for k in Counter(t).values()) if t else 0.0 for t in texts], dtype="float64")
+
+
 def entropy(rows: DataFrame, key: str, text: str, least: float = 2.5) -> DataFrame:
     """(key, n_symbols, entropy, low_info): Shannon entropy of a text's characters, in bits.
 
-    Characters are counted in place: for each distinct character, the length that its removal takes away. Null and
-    empty texts have none and are of low information.
+    Null and empty texts have none and are of low information.
     """
-    from ..functions.signatures import bound
-
     t = F.coalesce(F.col(text), F.lit(""))
-    n = F.length(t).cast("double")
-    counts = F.transform(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")), lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double"))
-    bits = bound(counts, lambda all_: F.aggregate(all_, F.lit(0.0), lambda s, x: s - x / n * F.log2(x / n)))
-    rows = rows.select(key, F.length(t).cast("long").alias("n_symbols"), F.when(F.length(t) == 0, 0.0).otherwise(bits).alias("entropy"))
-    return rows.select(key, "n_symbols", F.round("entropy", 6).alias("entropy"), (F.col("entropy") < least).alias("low_info"))
+    measured = rows.select(key, F.length(t).cast("long").alias("n_symbols"), F.pandas_udf(_bits, "double")(t).alias("entropy"))
+    return measured.select(key, "n_symbols", F.round("entropy", 6).alias("entropy"), (F.col("entropy") < least).alias("low_info"))
