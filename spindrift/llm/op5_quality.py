@@ -4,10 +4,11 @@ Lines are normalised (A-Z lowered, white space collapsed, ASCII digits as 0) and
 distinct documents are counted. A line above the limit is removed, and a document that loses more than its share of
 words is rejected as depleted.
 
-What counts as one document: exact copies are one text, and near copies, which share a sketch of their rare words,
-are nearly one sketch. A line is boilerplate if it stands in more than ``max_docs_per_host`` distinct sketches, and if
-at least ``min_spread`` of the distinct texts that hold it have a sketch of their own. So a large group of copies of
-a clean document, which near-duplicate removal thins out later, does not make its own lines boilerplate.
+What counts as one document: a text is the set of its lines, after near lines of a host have been given one label, so
+exact copies and copies with edited words are one document, while texts with lines of their own are documents of their
+own, however much of them is shared. A line is boilerplate if it stands in more than ``max_docs_per_host`` of these. So
+a group of copies of a clean document, which near-duplicate removal thins out later, does not make its own lines
+boilerplate, and neither does it hide those that other documents share.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import cells, pieces, shared_dir, signed, stored, table, texts
 SYMBOLS = b"#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _CONTINUATION = bytes(range(0x80, 0xC0))
+#: Samples of a line by which near lines are known.
+MINIMA = 6
 
 
 @dataclass(frozen=True)
@@ -35,7 +38,6 @@ class QualityPolicy:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_docs_per_host: int = 30
-    min_spread: float = 0.5
     max_removed_share: float = 0.7
 
 
@@ -47,11 +49,32 @@ def text_key(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-def sketch(words: list[bytes]) -> int:
-    """The two smallest hashes among the text's long words: near copies mostly share them, unrelated texts do not."""
-    distinct = set(words)
-    hashes = sorted({zlib.crc32(w) for w in ([w for w in distinct if len(w) >= 8] or distinct)})[:2]
-    return xxhash.xxh3_64_intdigest(repr(hashes).encode())
+def line_minima(lines: list[bytes]) -> np.ndarray:
+    """For each line (one word at least), the least hash of its three-word shingles under each of MINIMA mixings.
+
+    Lines that differ in a few words mostly share one. A line of fewer words is a shingle of its own.
+    """
+    sizes = np.array([x.count(b" ") + 1 for x in lines])
+    crc = np.array([zlib.crc32(w) for x in lines for w in x.split(b" ")], np.uint64) + np.uint64(1)
+    ends = np.cumsum(sizes)
+    line_of = np.repeat(np.arange(len(lines)), sizes)
+    at = np.arange(len(crc))
+    shingle = crc.copy()
+    for k in (1, 2):
+        inside = np.minimum(at + k, len(crc) - 1)
+        ok = (at + k < len(crc)) & (line_of[inside] == line_of)
+        shingle = shingle * np.uint64(0x9E3779B97F4A7C15) + np.where(ok, crc[inside], np.uint64(0))
+    last = ends[line_of] - at < 3  # shingles cut by the line's end count only where they are its first
+    starts = ends - sizes
+    last[starts] = False
+    out = np.empty((MINIMA, len(lines)), np.uint64)
+    for k in range(MINIMA):
+        x = (shingle ^ np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(29)
+        x[last] = np.uint64((1 << 64) - 1)
+        out[k] = np.minimum.reduceat(x, starts)
+    return out
 
 
 def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
@@ -88,6 +111,9 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(out[:, k]) for k in range(6)]], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key"])
 
 
+NEAR = [f"near{k}" for k in range(MINIMA)]
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct line with a word of each text, with the words that all its occurrences hold."""
     for b in pieces(batches):
@@ -95,21 +121,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line: list[int] = []
         words: list[int] = []
         keys: list[int] = []
-        marks: list[int] = []
+        near: list[np.ndarray] = [np.empty((MINIMA, 0), np.uint64)]
         for i, t in enumerate(cells(b.column(1))):
-            if not t or not (all_words := t.split()):
+            if not t:
                 continue
             found: dict[bytes, int] = {}
             for x in t.split(b"\n"):
                 if y := normal_line(x):
                     found[y] = found.get(y, 0) + y.count(b" ") + 1
+            if not found:
+                continue
             n = len(found)
             at += [i] * n
             line += [xxhash.xxh3_64_intdigest(x) for x in found]
             words += found.values()
             keys += [text_key(t)] * n
-            marks += [sketch(all_words)] * n
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(signed(x)) for x in (line, words, keys, marks)]], names=["host", "line", "words", "text_key", "sketch"])
+            near.append(line_minima(list(found)))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(signed(x)) for x in (line, words, keys, *np.concatenate(near, axis=1))]], names=["host", "line", "words", "text_key", *NEAR])
 
 
 def _host(docs: DataFrame):
@@ -117,27 +145,41 @@ def _host(docs: DataFrame):
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    return docs.select(_host(docs), F.col("text")).mapInArrow(_lines, "host string, line long, words long, text_key long, sketch long")
+    return docs.select(_host(docs), F.col("text")).mapInArrow(_lines, "host string, line long, words long, text_key long, " + ", ".join(f"{c} long" for c in NEAR))
+
+
+def _above(rows: DataFrame, member: str, policy: QualityPolicy) -> DataFrame:
+    """(host, line) with more than so many distinct members. Both steps combine on the map side, so no host or line fills a task."""
+    return rows.select("host", "line", member).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > policy.max_docs_per_host).select("host", "line")
+
+
+def line_labels(lines: DataFrame) -> DataFrame:
+    """(host, line, label) of the lines that are near one with a smaller hash, which is their label."""
+    own = lines.groupBy("host", "line").agg(F.array(*[F.first(c) for c in NEAR]).alias("near"))
+    shared = own.select("host", "line", F.posexplode("near").alias("k", "value"))
+    least = shared.groupBy("host", "k", "value").agg(F.min("line").alias("label"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("host", "k", "value", "label")
+    return shared.join(least, ["host", "k", "value"]).groupBy("host", "line").agg(F.min("label").alias("label")).filter("label <> line")
 
 
 def frequent_lines(lines: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """(host, line) of the lines above the limit. Each step combines on the map side, so one host or line never fills a task."""
-    return (
-        lines.groupBy("host", "line", "text_key")
-        .agg(F.min("sketch").alias("sketch"))
-        .groupBy("host", "line", "sketch")
-        .agg(F.count(F.lit(1)).alias("n_texts"))
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n_sketches"), F.sum("n_texts").alias("n_texts"))
-        .filter((F.col("n_sketches") > policy.max_docs_per_host) & (F.col("n_sketches") >= policy.min_spread * F.col("n_texts")))
-        .select("host", "line")
-    )
+    """(host, line) of the lines above the limit. Only lines in so many distinct texts, and the texts that hold them, are looked at closer."""
+    folder = shared_dir(lines.sparkSession)
+    many = stored(_above(lines, "text_key", policy), folder, "many")
+    holders = lines.join(many, ["host", "line"], "left_semi").select("host", "text_key").distinct()
+    held = stored(lines.join(holders, ["host", "text_key"], "left_semi"), folder, "held")
+    labels = stored(line_labels(held), folder, "labels")
+    labelled = held.select("host", "text_key", "line").join(labels, ["host", "line"], "left").select("host", "text_key", F.coalesce("label", "line").alias("label")).distinct()
+    documents = labelled.groupBy("host", "text_key").agg(F.expr("bit_xor(xxhash64(label))").alias("document"))
+    hits = held.join(many, ["host", "line"], "left_semi").select("host", "text_key", "line").distinct()
+    return _above(hits.join(documents, ["host", "text_key"]), "document", policy)
 
 
 def _removed(docs: DataFrame, policy: QualityPolicy) -> tuple[DataFrame, DataFrame]:
     """Lines of each (host, text) that go, and the sums of their words."""
-    lines = stored(document_lines(docs), shared_dir(docs.sparkSession), "lines")
-    hits = lines.join(frequent_lines(lines, policy), ["host", "line"], "left_semi").groupBy("host", "text_key", "line").agg(F.max("words").alias("words"))
+    folder = shared_dir(docs.sparkSession)
+    lines = stored(document_lines(docs), folder, "lines")
+    frequent = stored(frequent_lines(lines, policy), folder, "frequent")
+    hits = lines.join(frequent, ["host", "line"], "left_semi").groupBy("host", "text_key", "line").agg(F.max("words").alias("words"))
     return hits, hits.groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"))
 
 

@@ -268,6 +268,26 @@ def test_quality_lines(spark):
     assert clean[3] == body[3] and clean[100] == rows[80][2]
 
 
+def test_quality_depleted_and_copies(spark):
+    """Depleted documents cannot veto the lines that they share, nor can a group of copies larger than the rest."""
+    rnd = random.Random(21)
+    lines = lambda n, size=10: "\n".join(prose(rnd, size) for _ in range(n // size))
+    footers = {own: lines(150) for own in (10, 40, 60)}
+    rows = [(1000 * own + i, f"h{own}", f"{lines(own)}\n{footers[own]}") for own in footers for i in range(100)]
+    mixed, shared = lines(300, 30), prose(rnd, 20)
+    rows += [(i, "mixed", f"{lines(100)}\n{shared}") for i in range(40)]  # 40 documents share a line with 400 near copies of one
+    for i in range(400):
+        w = [x.split() for x in mixed.split("\n")]
+        for _ in range(6):
+            x = rnd.choice(w)
+            x[rnd.randrange(30)] = f"edit{rnd.randrange(10**6)}long"
+        rows.append((100 + i, "mixed", "\n".join(map(" ".join, w)) + f"\n{shared}"))
+    got = {r.doc_id: r for r in op5_quality.quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    for own in footers:
+        assert all(not got[1000 * own + i].kept and got[1000 * own + i].removed_words == 150 for i in range(100))
+    assert all(got[i].kept and got[i].removed_words == 20 for i in range(500) if i in got)
+
+
 # --- op6
 
 
