@@ -190,6 +190,25 @@ def test_near_copies_go(spark):
     assert {100 * g for g in range(12)} <= kept and len(kept) <= 16
 
 
+def test_near_components_against_all_pairs(spark):
+    """Links are the pairs with Jaccard similarity 0.8 or more, and nearly all of them: none is false."""
+    rnd, rows = random.Random(31), []
+    for g in range(150):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        near = list(words)
+        for k in rnd.sample(range(40), rnd.randint(1, 20)):
+            near[5 * k] = f"e{rnd.randrange(10**6)}"  # each breaks five shingles
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(near))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    true = {a for a in range(0, 300, 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])}
+    groups = {}
+    for r in op3_simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        groups.setdefault(r.component_id, set()).add(r.doc_id)
+    found = {a for a in groups if len(groups[a]) > 1}
+    assert 20 < len(true) < 120 and found <= true and len(found) >= 0.9 * len(true)
+    assert all(groups[a] == {a, a + 1} for a in found)
+
+
 # --- op4
 
 
