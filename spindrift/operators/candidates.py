@@ -93,6 +93,11 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k
                     s, o = s[keep], o[keep]
                     top = np.lexsort((-o, -s))[:k]
                     kept.append(np.stack([np.full(len(top), own[q], np.float64), o[top].astype(np.float64), s[top]], axis=1))
+                if sum(map(len, kept)) > 4 * k * len(own):  # a task's lists stay as small as the block's, whatever it reads
+                    every = np.concatenate(kept)
+                    every = every[np.lexsort((-every[:, 1], -every[:, 2], every[:, 0]))]
+                    first = np.flatnonzero(np.r_[True, every[1:, 0] != every[:-1, 0]])
+                    kept = [every[np.arange(len(every)) - np.repeat(first, np.diff(np.r_[first, len(every)])) < k]]
             if kept:
                 every = np.concatenate(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(every[:, 0].astype(np.int64)), pa.array(every[:, 1].astype(np.int64)), pa.array(every[:, 2])], names=["query_id", "cand_id", "score"])
@@ -127,10 +132,12 @@ def rescored(candidates: DataFrame, vectors: DataFrame, key: str, vector: str, k
 
 
 def exact_or_lsh(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = TOP_K, exact_limit: int = EXACT_LIMIT) -> DataFrame:
-    """The exact scan up to so many distinct keys, else sign-hash candidates scored exactly."""
-    if vectors.select(F.countDistinct(key)).first()[0] <= exact_limit:
-        return cosine_topk(vectors, queries, key, vector, k)
-    return rescored(lsh_votes(vectors, queries, key, vector), vectors, key, vector, k)
+    """The exact scan at every size: it goes by blocks of queries, so its memory does not follow the library.
+
+    exact_limit is the library size from which sign hashes were once used instead; they find too few of the nearest, so
+    it has no effect on the result. lsh_votes and rescored remain for those who ask for them.
+    """
+    return cosine_topk(vectors, queries, key, vector, k)
 
 
 def union_max(*ranked_sets: DataFrame) -> DataFrame:

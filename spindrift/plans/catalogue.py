@@ -97,7 +97,7 @@ def exact_or_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The branch of exact_or_lsh that large libraries take."""
+    """The sign-hash candidates, scored exactly; exact_or_lsh does not use them."""
     v = _vectors(spark, sf_dir)
     return candidates.rescored(candidates.lsh_votes(v, _asked(v), "vec_id", "embedding"), v, "vec_id", "embedding")
 

@@ -180,6 +180,23 @@ def test_cosine_blocks_and_exact_lsh(spark):
     assert lsh.items() <= every.items()
 
 
+def test_exact_or_lsh_recall(spark):
+    """Beyond the limit the nearest are found as well: recall against brute force is 1."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((600, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id bigint, v array<float>").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = candidates.exact_or_lsh(df, df.filter("id % 100 = 0"), "id", "v", 20, exact_limit=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    for q in range(0, 600, 100):
+        score = np.round(unit @ unit[q], 6)
+        best = [i for i in sorted(range(600), key=lambda i: (-score[i], -i)) if i != q][:20]
+        assert [r.cand_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+
+
 def test_pixels(spark):
     rng = np.random.default_rng(3)
     noisy, flat = rng.integers(0, 256, (64, 80), dtype=np.uint8), np.full((64, 80), 120, np.uint8)
