@@ -54,7 +54,7 @@ def label_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that neither line items nor events name."""
+    """Orders that no line item names. Events have no order keys; the second reference, negative user ids, is as in the SQL and has no rows in these tables."""
     events = load(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
     return coverage.orphans(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", (load(spark, sf_dir, "lineitem"), "l_orderkey"), (events.filter("k < 0"), "k"))
 
