@@ -49,6 +49,12 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of any name do no harm and the scan is pruned."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -4,11 +4,13 @@ Lines are normalised (A-Z lowered, white space collapsed, ASCII digits as 0) and
 distinct documents are counted. A line above the limit is removed, and a document that loses more than its share of
 words is rejected as depleted.
 
-What counts as one document: a text is the set of its lines, after near lines of a host have been given one label, so
-exact copies and copies with edited words are one document, while texts with lines of their own are documents of their
-own, however much of them is shared. A line is boilerplate if it stands in more than ``max_docs_per_host`` of these. So
-a group of copies of a clean document, which near-duplicate removal thins out later, does not make its own lines
-boilerplate, and neither does it hide those that other documents share.
+What counts as one document: exact copies are one text. A line in more than ``max_docs_per_host`` distinct texts is
+frequent. Of a text that holds frequent lines, the rest is its own, but for lines that are near a frequent one (edited
+copies of it). A text whose own words are more than ``own_share`` of it is a document told apart by its own lines,
+however much of it is shared. Any other differs from the frequent lines in a few words only, and is told apart by one of
+its frequent lines: many edited copies of a clean document are one document or a few, and do not make the document's own
+lines boilerplate before near-duplicate removal can keep one of them. A line goes if more than the limit of such
+documents hold it.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, pieces, shared_dir, signed, stored, table, texts
+from .common import cells, dropped, pieces, shared_dir, signed, stored, table, texts
 
 SYMBOLS = b"#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: Samples of a line by which near lines are known.
 MINIMA = 6
+#: Texts that a worker remembers, so that exact copies give their lines once a task.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,7 @@ class QualityPolicy:
     max_repeat_percent: int = 50
     max_docs_per_host: int = 30
     max_removed_share: float = 0.7
+    own_share: float = 0.05
 
 
 def normal_line(line: bytes) -> bytes:
@@ -74,7 +79,7 @@ def line_minima(lines: list[bytes]) -> np.ndarray:
         x ^= x >> np.uint64(29)
         x[last] = np.uint64((1 << 64) - 1)
         out[k] = np.minimum.reduceat(x, starts)
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
@@ -116,15 +121,20 @@ NEAR = [f"near{k}" for k in range(MINIMA)]
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct line with a word of each text, with the words that all its occurrences hold."""
+    seen: set[tuple[str, int]] = set()
     for b in pieces(batches):
         at: list[int] = []
         line: list[int] = []
         words: list[int] = []
         keys: list[int] = []
-        near: list[np.ndarray] = [np.empty((MINIMA, 0), np.uint64)]
-        for i, t in enumerate(cells(b.column(1))):
-            if not t:
+        near: list[np.ndarray] = [np.empty((MINIMA, 0), np.int32)]
+        for i, (host, t) in enumerate(zip(b.column(0).to_pylist(), cells(b.column(1)), strict=True)):
+            key = text_key(t or b"")
+            if not t or (host, key) in seen:
                 continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add((host, key))
             found: dict[bytes, int] = {}
             for x in t.split(b"\n"):
                 if y := normal_line(x):
@@ -135,9 +145,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += [i] * n
             line += [xxhash.xxh3_64_intdigest(x) for x in found]
             words += found.values()
-            keys += [text_key(t)] * n
+            keys += [key] * n
             near.append(line_minima(list(found)))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(signed(x)) for x in (line, words, keys, *np.concatenate(near, axis=1))]], names=["host", "line", "words", "text_key", *NEAR])
+        columns = [b.column(0).take(pa.array(at, pa.int64())), *[pa.array(signed(x)) for x in (line, words, keys)], *map(pa.array, np.concatenate(near, axis=1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "line", "words", "text_key", *NEAR])
 
 
 def _host(docs: DataFrame):
@@ -145,7 +156,7 @@ def _host(docs: DataFrame):
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    return docs.select(_host(docs), F.col("text")).mapInArrow(_lines, "host string, line long, words long, text_key long, " + ", ".join(f"{c} long" for c in NEAR))
+    return docs.select(_host(docs), F.col("text")).mapInArrow(_lines, "host string, line long, words long, text_key long, " + ", ".join(f"{c} int" for c in NEAR))
 
 
 def _above(rows: DataFrame, member: str, policy: QualityPolicy) -> DataFrame:
@@ -153,32 +164,47 @@ def _above(rows: DataFrame, member: str, policy: QualityPolicy) -> DataFrame:
     return rows.select("host", "line", member).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > policy.max_docs_per_host).select("host", "line")
 
 
-def line_labels(lines: DataFrame) -> DataFrame:
-    """(host, line, label) of the lines that are near one with a smaller hash, which is their label."""
-    own = lines.groupBy("host", "line").agg(F.array(*[F.first(c) for c in NEAR]).alias("near"))
-    shared = own.select("host", "line", F.posexplode("near").alias("k", "value"))
-    least = shared.groupBy("host", "k", "value").agg(F.min("line").alias("label"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("host", "k", "value", "label")
-    return shared.join(least, ["host", "k", "value"]).groupBy("host", "line").agg(F.min("label").alias("label")).filter("label <> line")
+def near_frequent(rest: DataFrame, many: DataFrame) -> DataFrame:
+    """(host, line, label) of the lines of rest that share a sample with a line of many, and the least of these.
+
+    One side of the join has a row for each host and sample, so no two lists meet in full.
+    """
+    spread = lambda rows: rows.groupBy("host", "line").agg(F.array(*[F.first(c) for c in NEAR]).alias("near")).select("host", "line", F.posexplode("near").alias("k", "value"))
+    least = spread(many).groupBy("host", "k", "value").agg(F.min("line").alias("label"))
+    return spread(rest).join(least, ["host", "k", "value"]).groupBy("host", "line").agg(F.min("label").alias("label"))
+
+
+def documents_of(held: DataFrame, many: DataFrame, policy: QualityPolicy) -> DataFrame:
+    """(host, text_key, document) of the texts of held (all lines of texts that hold a line of many): what tells documents apart."""
+    flagged = held.join(many.withColumn("many", F.lit(True)), ["host", "line"], "left")
+    rest = flagged.filter("many IS NULL")
+    labels = near_frequent(rest, flagged.filter("many"))
+    frequent = flagged.filter("many").select("host", "text_key", "words", F.col("line").alias("label"), F.lit(None).cast("long").alias("own"))
+    others = rest.select("host", "text_key", "line", "words").join(labels, ["host", "line"], "left").select("host", "text_key", "words", "label", F.when(F.col("label").isNull(), F.col("line")).alias("own"))
+    sums = frequent.unionByName(others).groupBy("host", "text_key").agg(
+        F.sum("words").alias("words"), F.sum(F.when(F.col("own").isNotNull(), F.col("words"))).alias("own_words"), F.min(F.xxhash64("label")).alias("shared"), F.expr("bit_xor(xxhash64(own)) FILTER (WHERE own IS NOT NULL)").alias("own")
+    )
+    return sums.select("host", "text_key", F.when(F.coalesce("own_words", F.lit(0)) > policy.own_share * F.col("words"), F.col("own")).otherwise(F.col("shared")).alias("document"))
 
 
 def frequent_lines(lines: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
     """(host, line) of the lines above the limit. Only lines in so many distinct texts, and the texts that hold them, are looked at closer."""
     folder = shared_dir(lines.sparkSession)
     many = stored(_above(lines, "text_key", policy), folder, "many")
-    holders = lines.join(many, ["host", "line"], "left_semi").select("host", "text_key").distinct()
-    held = stored(lines.join(holders, ["host", "text_key"], "left_semi"), folder, "held")
-    labels = stored(line_labels(held), folder, "labels")
-    labelled = held.select("host", "text_key", "line").join(labels, ["host", "line"], "left").select("host", "text_key", F.coalesce("label", "line").alias("label")).distinct()
-    documents = labelled.groupBy("host", "text_key").agg(F.expr("bit_xor(xxhash64(label))").alias("document"))
-    hits = held.join(many, ["host", "line"], "left_semi").select("host", "text_key", "line").distinct()
-    return _above(hits.join(documents, ["host", "text_key"]), "document", policy)
+    hits = lines.join(many, ["host", "line"], "left_semi").select("host", "text_key", "line")
+    held = stored(lines.join(hits.select("host", "text_key").distinct(), ["host", "text_key"], "left_semi").dropDuplicates(["host", "text_key", "line"]), folder, "held")
+    documents = documents_of(held, many, policy)
+    counted = _above(held.select("host", "text_key", "line").join(many, ["host", "line"], "left_semi").join(documents, ["host", "text_key"]), "document", policy)
+    found = stored(counted, shared_dir(lines.sparkSession), "frequent")
+    dropped(lines.sparkSession, folder)
+    return found
 
 
 def _removed(docs: DataFrame, policy: QualityPolicy) -> tuple[DataFrame, DataFrame]:
     """Lines of each (host, text) that go, and the sums of their words."""
     folder = shared_dir(docs.sparkSession)
     lines = stored(document_lines(docs), folder, "lines")
-    frequent = stored(frequent_lines(lines, policy), folder, "frequent")
+    frequent = frequent_lines(lines, policy)
     hits = lines.join(frequent, ["host", "line"], "left_semi").groupBy("host", "text_key", "line").agg(F.max("words").alias("words"))
     return hits, hits.groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"))
 
@@ -189,7 +215,8 @@ def quality(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFra
     A null text is empty (no words, so base_failed); a null source is a host of its own, the same as ''. Repeated rows
     are judged alike, each with its own row. Further columns of docs are not read. An empty table gives no rows.
     """
-    figures = docs.select("doc_id", _host(docs), "text").mapInArrow(_figures, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    figures = docs.select("doc_id", _host(docs), "text").mapInArrow(_figures, f"doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long")
     _, sums = _removed(docs, policy)
     failed = (F.col("n_words") < policy.min_words) | (100 * F.col("n_repeat_words") > policy.max_repeat_percent * F.col("n_words"))
     removed = F.coalesce(F.col("removed_words"), F.lit(0))
@@ -198,14 +225,12 @@ def quality(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFra
     )
 
 
-def _clean(policy: QualityPolicy, names: list[str]):
-    text_at, key_at = names.index("text"), names.index("removed_lines")
-
+def _clean(policy: QualityPolicy, text_at: int, n_at: int | None, kinds: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             keep: list[int] = []
-            out: list[bytes] = []
-            for i, (t, gone) in enumerate(zip(cells(b.column(text_at)), b.column(key_at).to_pylist(), strict=True)):
+            out: list[str | None] = []
+            for i, (t, gone) in enumerate(zip(cells(b.column(text_at)), b.column(b.num_columns - 1).to_pylist(), strict=True)):
                 n, _, _, _, repeat = base_figures(t or b"")
                 if n < policy.min_words or 100 * repeat > policy.max_repeat_percent * n:
                     continue
@@ -221,32 +246,40 @@ def _clean(policy: QualityPolicy, names: list[str]):
                         continue
                     t = b"\n".join(rest)
                 keep.append(i)
-                out.append(t)
+                out.append(None if t is None else t.decode("utf-8", "replace"))
             kept = b.take(pa.array(keep, pa.int64()))
-            clean = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
-            arrays = [clean if k == text_at else pa.array([len(x.as_py()) for x in clean], pa.int64()) if name == "n_chars" else kept.column(k) for k, name in enumerate(names) if k != key_at]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x for k, x in enumerate(names) if k != key_at])
+            arrays = list(kept.columns[:-1])
+            arrays[text_at] = pa.array(out, kinds[text_at])
+            if n_at is not None:
+                arrays[n_at] = pa.array([None if x is None else len(x) for x in out], kinds[n_at])
+            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names[:-1])
 
     return run
 
 
 def clean(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """docs without the rejected documents, and the rest without lines above the limit; same columns, n_chars renewed."""
-    hits, _ = _removed(docs, policy)
-    # text_key again on the JVM side would need the same hash; so a small keyed pass gives each row its key.
-    names = docs.columns
+    """docs (source, text and any other columns) without the rejected documents, and the rest without lines above the limit; n_chars renewed.
+
+    A null text has no words, so it goes unless min_words is 0; then it stays null. A null source is a host like ''.
+    Repeated rows are judged alike and stay repeated. Columns of any name are passed on untouched. An empty table stays
+    empty.
+    """
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*own)
+    text_at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    hits, _ = _removed(texts(docs, "source", "text"), policy)
     lists = hits.groupBy("host", "text_key").agg(F.collect_list("line").alias("removed_lines"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema, strict=True))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in pieces(batches):
-            keys = pa.array(signed([text_key(t or b"") for t in cells(b.column(at))]))
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*names, "text_key"])
+            keys = pa.array(signed([text_key(t or b"") for t in cells(b.column(text_at))]))
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*own, "text_key"])
 
-    rows = docs.mapInArrow(keyed, f"{schema}, text_key long").withColumn("host", _host(docs))
-    joined = rows.join(lists, ["host", "text_key"], "left").select(*names, "removed_lines")
-    return joined.mapInArrow(_clean(policy, [*names, "removed_lines"]), schema)
+    rows = named.mapInArrow(keyed, f"{schema}, text_key long").withColumn("host", F.coalesce(F.col(own[docs.columns.index("source")]).cast("string"), F.lit("")))
+    joined = rows.join(lists, ["host", "text_key"], "left").select(*own, "removed_lines")
+    kinds = [pa.int64() if k == n_at and f.dataType.simpleString() == "bigint" else pa.int32() if k == n_at else pa.string() for k, f in enumerate(docs.schema)]
+    return joined.mapInArrow(_clean(policy, text_at, n_at, kinds), schema).toDF(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,43 @@ def test_quality_depleted_and_copies(spark):
     assert all(got[i].kept and got[i].removed_words == 20 for i in range(500) if i in got)
 
 
+def test_quality_counts_documents_whatever_their_words(spark):
+    """200 documents of one host share a line: all lose it, with short or long own words, a long or a short line."""
+    rnd = random.Random(22)
+    cases = {"a": (" ".join(f"navigation{k}entry" for k in range(60)), 5, 70), "b": (" ".join(f"newsletter{k}" for k in range(12)), 5, 60), "c": (" ".join(f"newsletter{k}" for k in range(12)), 10, 60)}
+    rows = []
+    for host, (shared, size, own) in cases.items():
+        for i in range(200):
+            body = "\n".join(" ".join("".join(rnd.choices("bcdfglmnprst", k=size)) for _ in range(10)) for _ in range(own // 10))
+            rows.append((f"{host}{i}", host, f"{shared}\n{body}"))
+    got = op5_quality.quality(spark.createDataFrame(rows, "doc_id string, source string, text string")).collect()
+    assert len(got) == 600 and all(r.kept and r.removed_words == len(cases[r.doc_id[0]][0].split()) for r in got)
+
+
+def test_quality_short_lines_and_dropped_lines(spark):
+    """Copies that lack a line, or have one edited beyond recognition, are still few documents."""
+    rnd = random.Random(23)
+    lines = [prose(rnd, 25) for _ in range(8)] + ["two words"]
+    rows = []
+    for i in range(300):
+        own = list(lines)
+        if i % 2:
+            own[8] = f"edit{i} words"
+        else:
+            del own[rnd.randrange(8)]
+        rows.append((i, "h", "\n".join(own)))
+    got = op5_quality.quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert all(r.kept and r.removed_words == 0 for r in got)
+
+
+def test_quality_clean_passes_columns_on(spark):
+    """Columns named like the operator's own keep their values; a null text may stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("a", text, "src", "MYHOST", "key", "gone"), ("b", None, None, "MYHOST", None, None)], "doc_id string, text string, source string, host string, text_key string, removed_lines string")
+    assert op5_quality.clean(docs).collect() == docs.collect()[:1]
+    assert op5_quality.clean(docs, op5_quality.QualityPolicy(min_words=0)).orderBy("doc_id").collect() == docs.collect()
+
+
 # --- op6
 
 
