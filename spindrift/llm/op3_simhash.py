@@ -23,18 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cells, checkpointed, pieces, table, texts
-from .components import connected_components
+from .components import connected_components, joined_by_hub
 
 SHINGLE = 3
 BITS = 3
 MAX_GROUP = 4096
 SMALL = 64
-#: Near-duplicate removal in a pipeline: Jaccard similarity of five-word shingles, of pairs one of whose five
-#: fingerprints is within nine bits.
-NEAR_SHINGLE, NEAR_BITS, NEAR_SEEDS, NEAR_JACCARD = 5, 9, (42, 43, 44, 45, 46), 0.8
-#: In a key's large group a fingerprint keeps so many of its nearest links besides the forest's; so many texts of one
-#: fingerprint are paired each with each, and more by their first.
-NEIGHBOURS, TWINS = 32, 8
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -69,7 +63,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             prints = np.array([fingerprint_of(shingle_hashes(t or b"", size)) for t in cells(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long")
 
 
 # --- index -----------------------------------------------------------------------------------------------------------
@@ -126,20 +120,6 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _nearest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """The links of each of a group's distinct prints, of many the NEIGHBOURS nearest, and a spanning forest of them all."""
-    edges = set(_forest(prints, bits))
-    for i in range(0, len(prints), 512):
-        rows = prints[i : i + 512]
-        far = np.bitwise_count(rows[:, None] ^ prints[None, :])
-        for a in np.flatnonzero((far <= bits).sum(axis=1) > 1):
-            near = np.flatnonzero(far[a] <= bits)
-            for b in near[np.argsort(far[a, near], kind="stable")][: NEIGHBOURS + 1].tolist():
-                if b != i + a:
-                    edges.add((int(min(rows[a], prints[b])), int(max(rows[a], prints[b]))))
-    return sorted(edges)
-
-
 def _thinned(edges: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of edges, so that near copies that meet under many keys leave few links."""
     root: dict[int, int] = {}
@@ -173,8 +153,8 @@ def _variants(parts: int):
     return run
 
 
-def _grouped(bits: int, max_group: int, thin: bool = True):
-    """Rows sorted by key: links (a, b) within each key, thinned to a forest or not. The prints of keys beyond max_group come back as (a, key, free)."""
+def _grouped(bits: int, max_group: int):
+    """Rows sorted by key: links (a, b) within each key, thinned to a forest. The prints of keys beyond max_group come back as (a, key, free)."""
 
     def frame(a, b, key, free) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64)), pa.array(key, pa.int64()), pa.array(free, pa.int64())], names=["a", "b", "big", "free"])
@@ -190,9 +170,9 @@ def _grouped(bits: int, max_group: int, thin: bool = True):
             near = (small_keys[:-d] == small_keys[d:]) & (np.bitwise_count(x ^ y) <= bits) & (x != y)
             pairs.append(np.stack([np.minimum(x[near], y[near]), np.maximum(x[near], y[near])], axis=1))
         edges = np.unique(np.concatenate(pairs), axis=0)
-        edges = _thinned(edges) if thin and len(edges) > 1 else edges.tolist()
+        edges = _thinned(edges) if len(edges) > 1 else edges.tolist()
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            edges += (_forest if thin else _nearest)(np.unique(prints[s : s + n]), bits)
+            edges += _forest(np.unique(prints[s : s + n]), bits)
         if edges:
             yield frame([x for x, _ in edges], [y for _, y in edges], [None] * len(edges), [None] * len(edges))
 
@@ -226,18 +206,15 @@ def _grouped(bits: int, max_group: int, thin: bool = True):
     return run
 
 
-def links(prints: DataFrame, bits: int = BITS, max_group: int = MAX_GROUP, thin: bool = True) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column print) that connect all that are within ``bits``.
-
-    If not thinned, they are all links, but for fingerprints with many in a large group (see NEIGHBOURS).
-    """
+def links(prints: DataFrame, bits: int = BITS, max_group: int = MAX_GROUP) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column print) that connect all that are within ``bits``."""
     parts, width = bits // 2 + 1, 64
     level = prints.select("print", F.lit(0).cast("long").alias("fixed"), F.lit(-1).cast("long").alias("free"))
     found = None
     while True:
         last = width <= 16  # so few bits are left open that a group is bounded by their number
         keys = level.mapInArrow(_variants(parts), "key long, print long, free long")
-        rows = checkpointed(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(bits, 1 << 62 if last else max_group, thin), "a long, b long, big long, free long"))
+        rows = checkpointed(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(bits, 1 << 62 if last else max_group), "a long, b long, big long, free long"))
         part = rows.filter(F.col("big").isNull()).select("a", "b")
         found = part if found is None else found.unionByName(part)
         large = rows.filter(F.col("big").isNotNull())
@@ -259,97 +236,8 @@ def components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFr
     roots = connected_components(edges)
     named = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(ids, "root").select("print", "component_id")
-    return rows.join(labels, "print").select("doc_id", "print", "component_id")
-
-
-def _printed(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
-    """docs with a fingerprint for each seed, in columns _p0, _p1 and so on."""
-    names = docs.columns
-    at = names.index("text")
-    own = [f"_p{k}" for k in range(len(seeds))]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in own)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            raw = [t or b"" for t in cells(b.column(at))]
-            prints = [np.array([fingerprint_of(shingle_hashes(t, size, s)) for t in raw], np.uint64) for s in seeds]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p.view(np.int64)) for p in prints]], names=[*names, *own])
-
-    return docs.mapInArrow(run, schema)
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two arrays of distinct hashes; two empty ones are the same."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def similar(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
-    """Those pairs (a, b) of keys of rows (_t, text) whose sets of shingles have Jaccard similarity of at least so much."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            known: dict[int, np.ndarray] = {}
-            keep = []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, row in enumerate(zip(a, b, cells(batch.column(2)), cells(batch.column(3)), strict=True)):
-                for key, t in (row[::2], row[1::2]):
-                    if key not in known:
-                        known[key] = np.unique(shingle_hashes(t or b"", size))
-                if jaccard(known[row[0]], known[row[1]]) >= least:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
-
-    own = lambda key, text: rows.select(F.col("_t").alias(key), F.col("text").alias(text))
-    return pairs.join(own("a", "ta"), "a").join(own("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def candidates(texts_: DataFrame, own: list[str], bits: int) -> DataFrame:
-    """(a, b): pairs of distinct texts (_t, with fingerprints own) one of whose fingerprints is within ``bits``."""
-    pairs = None
-    for c in own:
-        prints = texts_.groupBy(F.col(c).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("first"))
-        members = texts_.select("_t", F.col(c).alias("print")).join(prints, "print")
-        ends = members.filter((F.col("n") <= TWINS) | (F.col("_t") == F.col("first")))
-        found = links(prints.select("print"), bits, thin=False)
-        side = lambda key: ends.select(F.col("print").alias(key), F.col("_t").alias(f"t{key}"))  # noqa: B023, E731
-        across = found.join(side("a"), "a").join(side("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-        part = across.unionByName(members.select(F.col("first").alias("a"), F.col("_t").alias("b")))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_components(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS, least: float = NEAR_JACCARD) -> DataFrame:
-    """doc_id, _t (a hash of the text), fingerprints _p0.., root and component_id, for each row of docs (doc_id, text).
-
-    Fingerprints of several seeds are independent estimates of one similarity, so a pair that one misses by a few bits
-    is mostly caught by another. They only propose pairs: two texts link if their shingles' Jaccard similarity is
-    ``least`` or more. Only texts with a link enter the graph.
-    """
-    own = [f"_p{k}" for k in range(len(seeds))]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"))
-    rows = checkpointed(_printed(keyed, size, seeds).drop("text"))
-    distinct = checkpointed(rows.groupBy("_t", *own).agg(F.min("doc_id").alias("first_id")))
-    pairs = checkpointed(candidates(distinct, own, bits))
-    wanted = pairs.select(F.col("a").alias("_t")).unionByName(pairs.select(F.col("b").alias("_t"))).distinct()
-    bodies = keyed.select("_t", "text").join(wanted, "_t", "left_semi").groupBy("_t").agg(F.first("text").alias("text"))
-    roots = connected_components(similar(pairs, bodies, size, least))
-    labelled = distinct.join(roots, F.col("_t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_t"))
-    ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(labelled.select("_t", "root").join(ids, "root"), "_t")
-
-
-def representatives(docs: DataFrame, size: int = NEAR_SHINGLE, bits: int = NEAR_BITS, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id; same columns.
-
-    A component whose ids are all null keeps one row, and so do rows that repeat an id and a text.
-    """
-    groups = near_components(docs, size, bits, seeds)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("_id"), F.min("_t").alias("_own"))
-    rows = docs.withColumn("_t", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_t"] == keep["_own"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    labels = joined_by_hub(named, ids, "root").select("print", "component_id")
+    return joined_by_hub(rows, labels, "print").select("doc_id", "print", "component_id")
 
 
 def hexadecimal(column: str):

@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from spindrift.llm import op1_secrets, op2_decontamination, op3_simhash, op4_warc, op5_quality, op6_bpe, op7_urls, op8_substrings, op9_maxent, op10_sharding
+from spindrift.llm import near, op1_secrets, op2_decontamination, op3_simhash, op4_warc, op5_quality, op6_bpe, op7_urls, op8_substrings, op9_maxent, op10_sharding
 
 from .helpers import prose
 
@@ -182,11 +182,11 @@ def test_near_copies_go(spark):
         words = [f"{rnd.choice(('ka', 'lo', 'mi', 'tu'))}{rnd.randrange(4000)}" for _ in range(300)]
         rows.append((100 * g, " ".join(words)))
         for k in range(4):
-            near = list(words)
+            other = list(words)
             for _ in range(k):
-                near[rnd.randrange(300)] = "changed"
-            rows.append((100 * g + k + 1, " ".join(near)))
-    kept = {r.doc_id for r in op3_simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+                other[rnd.randrange(300)] = "changed"
+            rows.append((100 * g + k + 1, " ".join(other)))
+    kept = {r.doc_id for r in near.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {100 * g for g in range(12)} <= kept and len(kept) <= 16
 
 
@@ -195,20 +195,64 @@ def test_near_components_against_all_pairs(spark):
     rnd, rows = random.Random(31), []
     for g in range(150):
         words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
-        near = list(words)
+        other = list(words)
         for k in rnd.sample(range(40), rnd.randint(1, 20)):
-            near[5 * k] = f"e{rnd.randrange(10**6)}"  # each breaks five shingles
-        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(near))]
+            other[5 * k] = f"e{rnd.randrange(10**6)}"  # each breaks five shingles
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
     true = {a for a in range(0, 300, 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])}
     groups = {}
-    for r in op3_simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    for r in near.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         groups.setdefault(r.component_id, set()).add(r.doc_id)
     found = {a for a in groups if len(groups[a]) > 1}
     assert 20 < len(true) < 120 and found <= true and len(found) >= 0.9 * len(true)
     assert all(groups[a] == {a, a + 1} for a in found)
 
 
+def star_shaped(rnd: random.Random, copies: int) -> list[tuple[int, str]]:
+    """Copies that are each near one text and mostly not near each other."""
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = [(copies // 2, " ".join(words))]
+    for i in range(copies):
+        own = list(words)
+        for k in rnd.sample(range(40), 4):
+            own[5 * k] = f"e{rnd.randrange(10**6)}"
+        rows.append((i if i < copies // 2 else i + 1, " ".join(own)))
+    return rows
+
+
+def pairs_of(rows, least=0.8):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, t in rows for w in [t.split()]]
+    return {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("group", [16_384, 6])
+def test_near_components_of_a_star(spark, group):
+    """No link is lost where a forest's likeliest pairs fail; keys of many texts are split."""
+    rows = star_shaped(random.Random(41), 60)
+    true = pairs_of(rows)
+    assert sum(a == 0 for a, _ in true) > 50 > len(true) - sum(a == 0 for a, _ in true)
+    got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), group).collect()
+    assert sum(r.component_id == 0 for r in got) >= 0.95 * (1 + sum(a == 0 for a, _ in true))
+
+
+def test_near_candidates_stay_in_proportion(spark):
+    """Ten times the texts give about ten times the pairs, near copies and texts that share a passage among them."""
+    rnd, passage = random.Random(42), " ".join(f"p{k}" for k in range(60))
+    rows = []
+    for g in range(1000):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        rows.append((2 * g, " ".join(words + [passage] * (g % 4 == 0))))
+        words[rnd.randrange(100)] = "edited"
+        rows.append((2 * g + 1, " ".join(words)))
+    counts = []
+    for n in (200, 2000):
+        base = near.signatures(spark.createDataFrame(rows[:n], "doc_id long, text string"))
+        found = near._ordered(near._sorted(near.keyed(base)).mapInArrow(near._proposed, near._PAIRS).select("a", "b")).count()
+        counts.append(found)
+    assert counts[0] >= 60 and counts[1] <= 14 * counts[0]
+
+
 # --- op4
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import op1_secrets, op2_decontamination, op3_simhash, op4_warc, op5_quality, op6_bpe, op7_urls, op8_substrings, op9_maxent, op10_sharding
+from spindrift.llm import near, op1_secrets, op2_decontamination, op3_simhash, op4_warc, op5_quality, op6_bpe, op7_urls, op8_substrings, op9_maxent, op10_sharding
 
 from .helpers import SCHEMA, odd_documents
 
@@ -16,7 +16,7 @@ def operators(spark):
         "op1": op1_secrets.findings,
         "op2": lambda d: op2_decontamination.contamination(d, bench),
         "op3": op3_simhash.components,
-        "op3n": op3_simhash.near_components,
+        "op3n": near.near_components,
         "op5": op5_quality.quality,
         "op6": op6_bpe.digests,
         "op8": op8_substrings.dedup,
@@ -54,7 +54,7 @@ def test_odd_pages(spark):
     assert op7_urls.verdicts(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("stage", [op5_quality.clean, op3_simhash.representatives, op1_secrets.redact])
+@pytest.mark.parametrize("stage", [op5_quality.clean, near.representatives, op1_secrets.redact])
 def test_stages_keep_columns(spark, stage):
     docs = spark.createDataFrame(odd_documents([(7, "password=abcdefgh12 " + " ".join(f"w{i}" for i in range(80)))]), SCHEMA)
     got = stage(docs)
@@ -65,5 +65,5 @@ def test_stages_keep_columns(spark, stage):
 
 def test_texts_without_ids_stay(spark):
     """Each component keeps a row, also where no row has an id; blank texts are one component, repeated rows one row."""
-    got = [(r.doc_id, r.text) for r in op3_simhash.representatives(spark.createDataFrame(odd_documents(), SCHEMA)).collect()]
+    got = [(r.doc_id, r.text) for r in near.representatives(spark.createDataFrame(odd_documents(), SCHEMA)).collect()]
     assert sorted(got, key=str) == sorted([(1, None), (None, "a null id has a text of its own"), (4, "same row"), (5, "é😀 \u3000 ß")], key=str)
