@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -47,24 +48,55 @@ def base_spans(t: str):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
 
 
+def window_kind(x: str, policy) -> int:
+    """A window's kind by counting afresh."""
+    w = len(x)
+    bits = -sum(n / w * math.log2(n / w) for n in Counter(x).values()) + 1e-9
+    d, l, u = (len(re.findall(c, x)) for c in ("[0-9]", "[a-z]", "[A-Z]"))  # noqa: E741
+    if d > 1 and l + u > 1 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", x):
+        return 4 if bits >= policy.hex_bits else -1
+    if u > 1 and l > 1 and d > 0:
+        return 3 if bits >= policy.base64_bits else -1
+    if d > 3 and (l > 3 and d + l == w or u > 3 and d + u == w):
+        return (5 if l else 6) if bits >= policy.one_case_bits else -1
+    return 7 if u > 5 and l > 5 and u + l == w and bits >= policy.letters_bits else -1
+
+
 def entropy_spans(t: str, policy=op1_secrets.SecretPolicy()):
     out, base, w = [], base_spans(t), policy.window
     for m in re.finditer(op1_secrets.CANDIDATE, t):
-        c = m[0]
-        hexa = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) and re.search("[a-fA-F]", c))
-        if any(re.search(a, c) for a in policy.allow) or not (hexa or (re.search("[a-z]", c) and re.search("[A-Z]", c))):
-            continue
-        runs = []
+        c, runs = m[0], []
         for i in range(w, len(c) + 1):
-            if -sum(n / w * math.log2(n / w) for n in Counter(c[i - w : i]).values()) + 1e-9 >= (policy.hex_bits if hexa else policy.base64_bits):
-                if runs and runs[-1][1] >= i - w:
-                    runs[-1][1] = i
+            kind = window_kind(c[i - w : i], policy)
+            if kind >= 0:
+                if runs and runs[-1][2] >= i - w:
+                    runs[-1][2] = i
                 else:
-                    runs.append([i - w, i])
-        out += [(a + m.start(), 4 if hexa else 3, z + m.start()) for a, z in runs if not any(x <= a + m.start() and z + m.start() <= y for x, _, y in base)]
+                    runs.append([i - w, kind, i])
+        out += [(a + m.start(), k, z + m.start()) for a, k, z in runs if not any(re.search(x, c[a:z]) for x in policy.allow) and not any(x <= a + m.start() and z + m.start() <= y for x, _, y in base)]
     return out
 
 
+def test_secrets_of_each_class(spark):
+    rows = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "JBSWY3DPEHPK3PXPGE2DG4BVGY3TQOJQ", "go wJalrXUtnFEMIKMDENGbPxRfiCYzqkLm", "com/acme/sample-app/raw/wJalrXUtnFEMIK7MDENGbPxRfiCYzq9kLm", "A1b2c3d4e5f60718293a4b5c6d7e8f90", "de305d54-75b4-431b-adb2-eb6b9e546014", "my-long-blog-post-title-of-2020-and-more", "getElementsByClassNameAndTagName", "thequickbrownfoxjumpsoverthelazydog"]
+    got = [r.spans.split(":")[0] for r in op1_secrets.findings(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["entropy_lower", "entropy_upper", "entropy_letters", "entropy_base64", "entropy_hex", "", "", "", ""]
+
+
+def test_secrets_in_a_very_long_candidate(spark):
+    """A candidate of 200,000 characters takes seconds (a scan that recounts its windows takes an hour), and its offsets are right."""
+    rnd = random.Random(8)
+    long = "".join(rnd.choices(op1_secrets.SYMBOLS[:64], k=200_000))
+    text = "data:" + long + " end"
+    docs = spark.createDataFrame([(1, text), (2, "password=abcdefgh12 " * 20_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in op1_secrets.findings(docs).collect()}
+    clean = {r.doc_id: r.text for r in op1_secrets.redact(docs).collect()}
+    assert time.perf_counter() - began < 90
+    assert got[1].spans.split(",") == [f"{op1_secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(base_spans(text) + entropy_spans(text))]
+    assert got[2].n_assign == 20_000 and len(clean[1]) < 20_000 and clean[2] == "[secret] " * 20_000
+
+
 def test_secrets(spark):
     rnd = random.Random(3)
     parts = ["token", "=", ":", " ", "'", '"', "abcdefgh", "AKIA", "ABCD1234", "0f9e8d7c", "\n", "é", "😀", "Zk9", "qW3rT7", "-", "/", "PassWD", "api_KEY", "ſecret", "aB3xY9kLmN0pQrStUvW2", "example"]
