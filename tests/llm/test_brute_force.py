@@ -279,8 +279,8 @@ def test_near_candidates_stay_in_proportion(spark):
         rows.append((2 * g + 1, " ".join(words)))
     counts = []
     for n in (200, 2000):
-        base = near.signatures(spark.createDataFrame(rows[:n], "doc_id long, text string"))
-        found = near._ordered(near._sorted(near.keyed(base)).mapInArrow(near._proposed, near._PAIRS).select("a", "b")).count()
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        found = near._ordered(near._sorted(near.keyed(docs, near.signatures(docs))).mapInArrow(near._proposed, near._PAIRS).select("a", "b")).count()
         counts.append(found)
     assert counts[0] >= 60 and counts[1] <= 14 * counts[0]
 
