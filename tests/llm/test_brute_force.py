@@ -280,7 +280,7 @@ def test_near_candidates_stay_in_proportion(spark):
     counts = []
     for n in (200, 2000):
         docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
-        found = near._ordered(near._sorted(near.keyed(docs, near.signatures(docs))).mapInArrow(near._proposed, near._PAIRS).select("a", "b")).count()
+        found = near._ordered(near._sorted(near.keyed(docs, near.signatures(docs), near.shared_dir(spark))).mapInArrow(near._proposed, near._PAIRS).select("a", "b")).count()
         counts.append(found)
     assert counts[0] >= 60 and counts[1] <= 14 * counts[0]
 
