@@ -72,8 +72,8 @@ def _full_views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def band_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The light candidates of each query: vectors whose full view shares a band, the 120 with the most."""
-    return candidates.band_candidates(candidates.band_index(_full_views(spark, sf_dir), "vec_id"), _asked(_vectors(spark, sf_dir)), "vec_id")
+    """The light candidates of each query: vectors any of whose views shares a band with any of its views, the 120 with the most."""
+    return candidates.band_candidates(band_index(spark, sf_dir), _asked(_vectors(spark, sf_dir)), "vec_id")
 
 
 def hamming_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,16 +20,15 @@ def _digest(signatures: DataFrame, key: str) -> DataFrame:
 def check(queries: DataFrame, library: DataFrame, key: str, vector: str) -> DataFrame:
     """COLUMNS for each query: same (equal digest, the smallest id), similar (the best fused candidate), or new.
 
-    Queries with an equal digest leave before the costly steps. Light candidates come from bands of the full view and
-    from exact cosine; fusion runs on their union.
+    Queries with an equal digest leave before the costly steps. Light candidates come from bands of all views and from
+    exact cosine; fusion runs on their union.
     """
     own, other = candidates.views(queries, key, vector), candidates.views(library, key, vector)
     digests = _digest(own, key).withColumnRenamed(key, "query_id")
     same = digests.join(_digest(other, key), "digest").groupBy("query_id").agg(F.min(key).alias("cand_id"))
     exact = same.select("query_id", "cand_id", F.lit(100.0).alias("score"), F.lit("same").alias("verdict"), F.lit("digest").alias("match_type"), F.lit("confirm").alias("action"))
     rest = queries.join(same.select(F.col("query_id").alias(key)), key, "left_anti")
-    full = lambda s: candidates.band_index(s.filter("kind = 'full'"), key)
-    light = candidates.band_search(full(own).join(rest.select(key), key, "left_semi"), full(other), key)
+    light = candidates.band_search(candidates.band_index(own.join(rest.select(key), key, "left_semi"), key), candidates.band_index(other, key), key)
     near = candidates.cosine_topk(library, rest, key, vector)
     pairs = light.select("query_id", "cand_id").unionByName(near.select("query_id", "cand_id")).distinct()
     both = queries.select(key, vector).unionByName(library.select(key, vector))

@@ -16,7 +16,7 @@ sv AS (SELECT vec_id, kind, ord, format('{:08x}{:08x}', p1, p2) AS phash, format
        QUALIFY row_number() OVER (PARTITION BY vec_id, p1, p2, d1, d2 ORDER BY ord) = 1)"""
 
 _BANDS = _VIEWS + """,
-bi AS (SELECT DISTINCT vec_id, j AS band, substr(phash, 2 * j + 1, 2) AS value FROM sv, range(8) t(j) WHERE kind = 'full'),
+bi AS (SELECT DISTINCT vec_id, j AS band, substr(phash, 2 * j + 1, 2) AS value FROM sv, range(8) t(j)),
 bc AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, count(*) AS hits FROM bi q JOIN bi c ON q.band = c.band AND q.value = c.value WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL),
 cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, cand_id DESC) AS rank FROM bc QUALIFY rank <= 120)"""
 
