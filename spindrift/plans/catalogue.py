@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, clusters, coverage, digests, dml, feedback, fusion, link, quality
+from ..operators import candidates, clusters, coverage, digests, dml, feedback, fusion, link, quality, records
 from ..sources import exports
 from ..sources.tables import load
 from . import check
@@ -279,7 +279,63 @@ def record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", T.identifier(F.col("o_orderpriority")).alias("ident"), T.object_key(F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))).alias("object"), T.clipped(F.col("o_orderpriority"), 6).alias("clip"), T.escaped(F.concat(F.lit("_"), "o_orderstatus", F.lit("*"))).alias("escaped"), T.parsed_date(F.concat(stamp, F.lit(" UTC+08:00"))).alias("parsed"))
 
 
+def cascade12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.cascade(_signals(spark, sf_dir), "query_id", "cand_id").select("query_id", "cand_id", "light", "base", "place")
+
+
+def review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending reviews of the queries whose best candidate asks for one; each three events are a query's candidates."""
+    fused = fusion.fuse(_signals(spark, sf_dir).withColumn("query_id", F.expr("cand_id div 3"))).withColumn("score", F.round("score", 6))
+    return records.review_records(fusion.verdict(fusion.best(fused, "query_id", "cand_id")))
+
+
+def buffer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are kept one a user, views one an event."""
+    e = load(spark, sf_dir, "events").filter("event_type IN ('click', 'view')")
+    return records.buffered(e, "user_id", "event_id", "ts", "event_type", ["click"])
+
+
+def buffer_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All buffered rows at a restart half an hour after the newest event."""
+    e = load(spark, sf_dir, "events")
+    rows = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    age = (link.micros("now") - link.micros("ts")) / 1e6 + 1800
+    return records.restored(rows, "event_id", age)
+
+
+def last_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return records.last_wins(users, e, "user_id", ["ts", "event_id"], "event_type")
+
+
+def most_frequent_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.most_frequent(load(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir)
+    return records.run_counters(t, {"scanned": F.lit(True), "services": F.col("service"), "with_media": F.col("media").isNotNull(), "records": F.col("record"), "media_without_record": F.col("media").isNotNull() & ~F.col("record")})
+
+
+def stale_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.stale(load(spark, sf_dir, "pages"), "url", "https://").select("page_id", "url")
+
+
+def supplier_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of suppliers; a nation key below 5 stands for the supplier itself, one of 10 to 14 is empty."""
+    nation = F.when(F.col("s_nationkey").between(10, 14), "").otherwise(F.col("s_nationkey").cast("string"))
+    shown = records.alias_of(nation, ["0", "1", "2", "3", "4"], F.col("s_name"))
+    return load(spark, sf_dir, "supplier").select("s_suppkey", records.summary({"name": F.col("s_name"), "nation": shown}).alias("card"))
+
+
+def backlog_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest 20 documents without a label."""
+    return coverage.backlog(load(spark, sf_dir, "documents").select("doc_id", "source"), load(spark, sf_dir, "labels"), "doc_id", 20)
+
+
 QUERIES = (
+    cascade12, review_records, buffer_state, buffer_restore, last_wins_lookup, most_frequent_type, import_counters, stale_paths, supplier_cards, backlog_batch,
     dup_documents, digest_any, insert_if_absent, coverage_stats, label_backlog, orphan_keys, sig_views, band_index, band_candidates, hamming_best_pair, cosine_topk, simhash_lsh_vote, exact_or_lsh, lsh_rescored, candidate_union, knn_mutual, check_library, import_clusters,
     fusion_scores, fusion_verdict, veto, exclusion_filter, review_transition, merge_upsert, audit_log, field_conflicts, label_parse, short_text_filter, sender_carry_forward, reply_chain4, lookback7, latest_asof, interval_pair, consume_once, ttl_expiry, html_extract, entropy_quality, record_text,
 )

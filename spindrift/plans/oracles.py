@@ -103,7 +103,31 @@ SELECT query_id, cand_id, CASE WHEN score >= 85 THEN round(score, 2) ELSE 0.0::D
   CASE WHEN score < 85 THEN NULL WHEN cp >= 82 AND cp >= greatest(g, p) THEN 'copy_model' WHEN g >= 84 THEN 'local_match' WHEN p >= 92 THEN 'high_similarity' ELSE 'visual_similarity' END AS match_type, CASE WHEN score >= 90 THEN 'confirm' WHEN score >= 85 THEN 'review' ELSE 'none' END AS action FROM pick
 UNION ALL SELECT query_id, cand_id, 100.0::DOUBLE, 'same', 'digest', 'confirm' FROM same"""
 
+_KIND = "CASE WHEN cp >= 82 AND cp >= greatest(g, p) THEN 'copy_model' WHEN g >= 84 THEN 'local_match' WHEN p >= 92 THEN 'high_similarity' ELSE 'visual_similarity' END"
+
 ORACLES = {
+    "cascade12": f"""
+        WITH {_SIGNALS}, l AS (SELECT query_id, cand_id, cp, round(0.62::DOUBLE * p + 0.18::DOUBLE * d + 0.20::DOUBLE * roi, 6) AS light, round(base, 6) AS base FROM fu),
+        a AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY greatest(light, cp) DESC, cand_id DESC) <= 32)
+        SELECT query_id, cand_id, light, base, row_number() OVER (PARTITION BY query_id ORDER BY greatest(base, light, cp) DESC, cand_id DESC) AS place FROM a QUALIFY place <= 12""",
+    "review_records": f"""
+        WITH {_SIGNALS}, r AS (SELECT * REPLACE (round(score, 6) AS score, cand_id // 3 AS query_id) FROM fu QUALIFY row_number() OVER (PARTITION BY cand_id // 3 ORDER BY round(score, 6) DESC, cand_id DESC) = 1) SELECT query_id, cand_id AS matched_id, {_KIND} AS match_type, round(score, 2) AS score, 'pending' AS status FROM r WHERE score >= 85 AND score < 90""",
+    "buffer_state": """
+        SELECT user_id, event_type, event_id, ts FROM events WHERE event_type = 'view' UNION ALL
+        SELECT user_id, event_type, event_id, ts FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "buffer_restore": """
+        WITH a AS (SELECT event_id, (epoch_us(m.now) - epoch_us(ts))::DOUBLE / 1000000 + 1800 AS age FROM events, (SELECT max(ts) AS now FROM events) m)
+        SELECT event_id, CASE WHEN age > 7200 THEN 'purged' WHEN age > 3600 THEN 'expired' ELSE 'live' END AS state, CASE WHEN age <= 3600 THEN greatest(1::DOUBLE, 3600 - age) END AS left FROM a""",
+    "last_wins_lookup": """
+        SELECT c_custkey AS user_id, l.event_type FROM customer LEFT JOIN (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) l ON l.user_id = c_custkey""",
+    "most_frequent_type": """
+        SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, length(event_type) DESC, event_type DESC) = 1""",
+    "import_counters": f"""
+        WITH {_TURNS} SELECT count(*) AS scanned, count(*) FILTER (WHERE service) AS services, count(media) AS with_media, count(*) FILTER (WHERE record) AS records, count(*) FILTER (WHERE media IS NOT NULL AND NOT record) AS media_without_record FROM t""",
+    "stale_paths": "SELECT page_id, url FROM pages WHERE url IS NULL OR url = '' OR url NOT LIKE 'https://%'",
+    "supplier_cards": """
+        SELECT s_suppkey, 'name: ' || s_name || CASE WHEN s_nationkey BETWEEN 10 AND 14 THEN '' WHEN s_nationkey < 5 THEN chr(10) || 'nation: ' || s_name ELSE chr(10) || 'nation: ' || s_nationkey END AS card FROM supplier""",
+    "backlog_batch": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 20",
     "check_library": _CHECK,
     "import_clusters": """
         WITH RECURSIVE r AS (SELECT conv_id * 1000 + turn AS id, role, turn FROM conversations), p AS (SELECT id, id - 1 AS up FROM r WHERE turn > 0 AND role <> 'system' AND id - 1 IN (SELECT id FROM r)),
