@@ -172,6 +172,20 @@ def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.excluded(rows.select("query_id", "query_digest", "query_hash", "cand_id", "cluster_id"), rules).select("query_id", "cand_id", "cluster_id")
 
 
+def exclusion_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact cosine candidates without those that an exclusion covers by vector; every fifth query, each 16th element halved, has been rejected with its best."""
+    v = _vectors(spark, sf_dir)
+    found = cosine_topk(spark, sf_dir)
+    best = found.filter("rank = 1").select(F.col("query_id").alias("vec_id"), F.col("cand_id").alias("matched_id"))
+    none = F.lit(None).cast("string")
+    damped = F.transform("embedding", lambda x, i: F.when(i % 16 == 0, x / 2).otherwise(x.cast("double")))
+    rules = v.filter(F.col("vec_id") % (5 * QUERY_STEP) == 0).join(best, "vec_id").select(none.alias("digest"), none.alias("hash"), "matched_id", F.col("label").alias("cluster_id"), damped.alias("vector"))
+    own = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    label = v.select(F.col("vec_id").alias("cand_id"), F.col("label").alias("cluster_id"))
+    rows = found.join(own, "query_id").join(label, "cand_id").select("query_id", none.alias("query_digest"), none.alias("query_hash"), "cand_id", "cluster_id", "query_vector")
+    return feedback.excluded(rows, rules).select("query_id", "cand_id", "cluster_id")
+
+
 def review_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error"))
     rows = events.select(F.col("user_id").alias("review_id"), "event_id", "ts", F.when(F.col("event_type") == "click", "confirm").otherwise("reject").alias("decision"))
@@ -337,7 +351,7 @@ def backlog_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     cascade12, review_records, buffer_state, buffer_restore, last_wins_lookup, most_frequent_type, import_counters, stale_paths, supplier_cards, backlog_batch,
     dup_documents, digest_any, insert_if_absent, coverage_stats, label_backlog, orphan_keys, sig_views, band_index, band_candidates, hamming_best_pair, cosine_topk, simhash_lsh_vote, exact_or_lsh, lsh_rescored, candidate_union, knn_mutual, check_library, import_clusters,
-    fusion_scores, fusion_verdict, veto, exclusion_filter, review_transition, merge_upsert, audit_log, field_conflicts, label_parse, short_text_filter, sender_carry_forward, reply_chain4, lookback7, latest_asof, interval_pair, consume_once, ttl_expiry, html_extract, entropy_quality, record_text,
+    fusion_scores, fusion_verdict, veto, exclusion_filter, exclusion_vectors, review_transition, merge_upsert, audit_log, field_conflicts, label_parse, short_text_filter, sender_carry_forward, reply_chain4, lookback7, latest_asof, interval_pair, consume_once, ttl_expiry, html_extract, entropy_quality, record_text,
 )
 
 

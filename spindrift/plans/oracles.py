@@ -174,6 +174,11 @@ ORACLES = {
         x AS (SELECT phash, vec_id + 1 AS m, CASE WHEN vec_id % 400 = 0 THEN label END AS k FROM fv JOIN embeddings USING (vec_id) WHERE vec_id % 200 = 0),
         hit AS (SELECT DISTINCT query_id, m, k FROM c JOIN x ON md5(c.phash) = md5(x.phash) OR bit_count(xor(('0x' || c.phash)::UBIGINT, ('0x' || x.phash)::UBIGINT)) <= 2)
         SELECT query_id, cand_id, cluster_id FROM c WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.query_id = c.query_id AND (hit.m = c.cand_id OR hit.k = c.cluster_id))""",
+    "exclusion_vectors": f"""
+        WITH {_COSINE}, c AS (SELECT query_id, cand_id, rank, label AS cluster_id FROM ck JOIN embeddings l ON l.vec_id = cand_id),
+        x AS (SELECT e.label AS k, ck.cand_id AS m, list_transform(range(64), lambda i: CASE WHEN i % 16 = 0 THEN e.embedding[i + 1]::DOUBLE / 2 ELSE e.embedding[i + 1]::DOUBLE END) AS y FROM embeddings e JOIN ck ON ck.query_id = e.vec_id AND rank = 1 WHERE e.vec_id % 100 = 0),
+        hit AS (SELECT DISTINCT vec_id AS query_id, m, k FROM ce JOIN x ON vec_id % 20 = 0 AND round(list_cosine_similarity(ce.x, x.y), 6) >= 0.96)
+        SELECT query_id, cand_id, cluster_id FROM c WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.query_id = c.query_id AND (hit.m = c.cand_id OR hit.k = c.cluster_id))""",
     "review_transition": """
         SELECT user_id AS review_id, CASE WHEN event_type = 'click' THEN 'confirmed' ELSE 'false_positive' END AS status, ts FROM events WHERE event_type IN ('click', 'error')
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
