@@ -1,15 +1,19 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The first factor is a softmax over ``CLASSES`` classes on
-hashed features: the last word, the last two, and two skips (the word before the last, and the one before that). It is
-trained by gradient updates in all tasks: each starts a round from the shared weights, takes mini-batch AdaGrad steps
-over its part of the round's texts, and the new weights are the means of the tasks' rows, weighted by how often each
-row was used. The second factor is the closed form of a softmax with a bias for each word, add-one smoothed: counts
-within the class. The most frequent words have classes of their own, others go by a hash of their last two bytes.
+Classes form a tree of 16 branches and one to four levels, more for a larger vocabulary. P(word | history) is the
+product of P(branch | node, history) over the word's path and of P(word | leaf). Each branch is a softmax on hashed
+features of the node with: the last word, the last two, two skips (the word before the last, and the one before that),
+and the class of the last word. The most frequent words are leaves of their own at the first level; others go by their
+last two bytes, last three, and the whole word. P(word | leaf) is add-one smoothed counts within the leaf.
+
+Training is synchronous: in each round all tasks sum the gradient of their texts at the shared weights, the sums meet,
+and every weight moves once, by the gradient over the greater of what was seen and what was expected. So weights and
+scores do not hang on how texts are dealt to tasks, but for rounding. Biases start at the counts of the branches.
 
 Word counts cover all training texts and stay a distributed table. Only words at or above a count that leaves at most
 ``FREQUENT`` of them, 64 bytes long at most, are broadcast; the other words of each text meet their counts in a join,
-one row for each distinct word of a text. So nothing on the driver or in a worker grows with the vocabulary.
+one row for each distinct word of a text. Weight rows grow with the training tokens up to ``2 ** MOST_BITS`` (8 MB),
+leaves with the vocabulary up to 65,536. So nothing on the driver or in a worker grows with the corpus beyond that.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import cells, pieces, shared_dir, stored, table, texts
 
-CLASSES, OWN = 16, 8
-ROWS = 1 << 15
+CLASSES, OWN = 16, 8  # branches of a node, and words that are leaves of their own
+MOST_LEVELS = 4
+LEAST_BITS, MOST_BITS = 12, 17
 FREQUENT, LONGEST = 300_000, 64
 ROUNDS = 2
-RATE = 0.2
-STEP = 16384
+RATE, DAMP = 1.0, 16.0
+STEP = 16384  # tokens of one softmax
+BLOCK = 1 << 18  # tokens whose gradients are summed at once
+TASK_TOKENS = 6_000_000  # least tokens of a training task, whose sums are as large as the weights
 ROOM = 200_000  # words beside the frequent ones that a worker remembers
 END = b""
 CHUNK = 512
@@ -76,29 +83,80 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def word_class(word: bytes, own: dict[bytes, int]) -> int:
-    return own[word] if word in own else OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
+@dataclass(frozen=True)
+class Shape:
+    """Levels of the class tree and bits of the hashed rows. Rows of the nodes' biases follow the hashed ones."""
+
+    levels: int
+    bits: int
+
+    @property
+    def rows(self) -> int:
+        return 1 << self.bits
+
+    @property
+    def leaves(self) -> int:
+        return CLASSES**self.levels
+
+    def first(self, level: int) -> int:
+        """Number of the first node of a level, counted from the root."""
+        return (CLASSES**level - 1) // (CLASSES - 1)
+
+    @property
+    def size(self) -> int:
+        return self.rows + self.first(self.levels)
+
+
+def shape_of(n: int, v: int) -> Shape:
+    """Some 16 words a leaf and 8 tokens a row, within the bounds."""
+    levels = next((k for k in range(1, MOST_LEVELS) if CLASSES ** (k + 1) >= v), MOST_LEVELS)
+    return Shape(levels, min(MOST_BITS, max(LEAST_BITS, (n // 8).bit_length())))
+
+
+def word_leaf(word: bytes, own: dict[bytes, int], levels: int) -> int:
+    if word in own:
+        return own[word] * CLASSES ** (levels - 1)
+    leaf = OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
+    if levels > 1:
+        leaf = leaf * CLASSES + (zlib.crc32(word[-3:]) >> 9) % CLASSES
+    for k in range(2, levels):
+        leaf = leaf * CLASSES + (zlib.crc32(word) >> (4 * k + 8)) % CLASSES
+    return leaf
+
+
+def leaf_column(own: dict[bytes, int], levels: int):
+    """word_leaf as a Column over the column word."""
+    last = lambda k: F.crc32(F.expr(f"substring(word, greatest(length(word) - {k - 1}, 1), {k})"))
+    leaf = F.lit(OWN) + last(2) % (CLASSES - OWN)
+    if levels > 1:
+        leaf = leaf * CLASSES + F.shiftright(last(3), 9) % CLASSES
+    for k in range(2, levels):
+        leaf = leaf * CLASSES + F.shiftright(F.crc32("word"), 4 * k + 8) % CLASSES
+    for word, k in own.items():
+        leaf = F.when(F.col("word") == F.lit(bytearray(word)), F.lit(k * CLASSES ** (levels - 1)).cast("long")).otherwise(leaf)
+    return leaf
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What scoring needs beside the table of counts; bounded in size."""
+    """What training and scoring need beside the table of counts; bounded in size."""
 
     words: bytes  # the frequent words, parted by blanks; the end token is apart
     counts: np.ndarray
     end_count: int
     least: int
     own: dict[bytes, int]
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    shape: Shape
+    leaf_tokens: np.ndarray
+    leaf_words: np.ndarray
 
     @property
     def n(self) -> int:
-        return int(self.class_tokens.sum())
+        return int(self.leaf_tokens.sum())
 
     @property
     def v(self) -> int:
-        return int(self.class_words.sum())
+        return int(self.leaf_words.sum())
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -117,15 +175,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         end_count = next((r["c"] for r in counts.filter(F.length("word") == 0).collect()), 0)
     top = [x for x in top if x[0] != END]
     own = {w: k for k, w in enumerate([END, *[w for w, _ in top[: OWN - 1]]])}
-    kind = F.lit(OWN) + F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(CLASSES - OWN))
-    mine = F.lit(None).cast("long")
-    for w, k in own.items():
-        mine = F.when(F.col("word") == F.lit(bytearray(w)), F.lit(k).cast("long")).otherwise(mine)
-    by = counts.groupBy(F.coalesce(mine, kind).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
+    shape = shape_of(whole["n"], whole["v"])
+    by = counts.groupBy(leaf_column(own, shape.levels).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    tokens, words = np.zeros(shape.leaves, np.int64), np.zeros(shape.leaves, np.int64)
     for r in by:
         tokens[r["k"]], words[r["k"]] = r["c"], r["v"]
-    return Vocabulary(b" ".join(w for w, _ in top), np.array([c for _, c in top], np.int64), end_count, int(least), own, tokens, words)
+    return Vocabulary(b" ".join(w for w, _ in top), np.array([c for _, c in top], np.int64), end_count, int(least), own, shape, tokens, words)
 
 
 class _Numbers(dict):
@@ -140,8 +196,8 @@ class _Numbers(dict):
 class Lexicon:
     """Numbers of words within a Python worker: frequent ones first, others as they come, forgotten when there are many."""
 
-    def __init__(self, vocabulary: Vocabulary | None, own: dict[bytes, int]) -> None:
-        self.own = own
+    def __init__(self, vocabulary: Vocabulary | None, own: dict[bytes, int], levels: int) -> None:
+        self.own, self.levels = own, levels
         self.base = [END] + (vocabulary.words.split() if vocabulary else [])
         self.reset()
 
@@ -149,15 +205,15 @@ class Lexicon:
         self.numbers = _Numbers(zip(self.base, range(len(self.base)), strict=True))
         self.numbers.fresh = []
         room = len(self.base) + 2 * ROOM
-        self.hash_array, self.kind_array = np.zeros(room, np.uint32), np.zeros(room, np.int64)
+        self.hash_array, self.leaf_array = np.zeros(room, np.uint32), np.zeros(room, np.int64)
         self._fill(0, self.base)
 
     def _fill(self, at: int, words: list[bytes]) -> None:
         end = at + len(words)
         if end > len(self.hash_array):
-            self.hash_array, self.kind_array = np.resize(self.hash_array, 2 * end), np.resize(self.kind_array, 2 * end)
+            self.hash_array, self.leaf_array = np.resize(self.hash_array, 2 * end), np.resize(self.leaf_array, 2 * end)
         self.hash_array[at:end] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-        self.kind_array[at:end] = np.fromiter((word_class(w, self.own) for w in words), np.int64, len(words))
+        self.leaf_array[at:end] = np.fromiter((word_leaf(w, self.own, self.levels) for w in words), np.int64, len(words))
 
     def number(self, words: list[bytes]) -> np.ndarray:
         numbers = self.numbers
@@ -174,52 +230,81 @@ class Lexicon:
 # --- model -----------------------------------------------------------------------------------------------------------
 
 
-def features(hashes: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Weight rows of each token's history, four columns; position: the token's place in its text."""
+def features(hashes: np.ndarray, leaves: np.ndarray, position: np.ndarray, shape: Shape) -> np.ndarray:
+    """Hashes of each token's history, one row a feature; position: the token's place in its text."""
     n = len(hashes)
+
+    def back(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        out[by:] = x[: max(0, n - by)]
+        out[position < by] = 0x1234567
+        return out
+
     h = hashes.astype(np.uint64)
-    before = []
-    for back in (1, 2, 3):
-        x = np.zeros(n, np.uint64)
-        x[back:] = h[: max(0, n - back)]
-        x[position < back] = 0x1234567
-        before.append(x)
-    one, two, three = before
-    mixed = [one * np.uint64(0x9E3779B97F4A7C15), (one * np.uint64(31) + two + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F), two * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1 << 50), three * np.uint64(0xA0761D6478BD642F) + np.uint64(3 << 50)]
-    return np.stack([(x >> np.uint64(49)).astype(np.int64) for x in mixed], axis=1)
+    one, two, three = back(h, 1), back(h, 2), back(h, 3)
+    kind = back((leaves >> 4 * max(0, shape.levels - 2)).astype(np.uint64), 1)
+    return np.stack([
+        one * np.uint64(0x9E3779B97F4A7C15),
+        (one * np.uint64(31) + two + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F),
+        two * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1 << 50),
+        three * np.uint64(0xA0761D6478BD642F) + np.uint64(3 << 50),
+        (kind + np.uint64(5)) * np.uint64(0xE7037ED1A0B428DB),
+    ])
+
+
+def branches(history: np.ndarray, leaves: np.ndarray, level: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At a level: the tokens whose path goes through it, their weight rows (one row a feature), the branch taken."""
+    below = 4 * (shape.levels - level)
+    at = np.flatnonzero(leaves >> 4 * (shape.levels - 1) >= OWN) if level else np.arange(len(leaves))
+    leaves = leaves[at]
+    node = (leaves >> below) + shape.first(level)
+    salt = (node + 1).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
+    rows = np.empty((len(history) + 1, len(at)), np.int64)
+    for k, h in enumerate(history):
+        rows[k] = ((h[at] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - shape.bits)
+    rows[-1] = shape.rows + node
+    return at, rows, (leaves >> below - 4) & CLASSES - 1
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes, sparse rows of the weights summed. Row ROWS is the bias."""
-    z = weights[rows[:, 0]] + weights[ROWS]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+    """Log probabilities of the branches, sparse rows of the weights summed."""
+    z = weights[rows[0]]
+    for k in range(1, len(rows)):
+        z += weights[rows[k]]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-class Trainer:
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights = weights.copy()
-        self.squares = np.ones(weights.shape, np.float32)  # so that a row used once moves little
-        self.used = np.zeros(len(weights), np.float32)
-
-    def step(self, rows: np.ndarray, kinds: np.ndarray) -> None:
-        n = len(kinds)
-        gradient = np.exp(log_softmax(self.weights, rows))
-        gradient[np.arange(n), kinds] -= 1
-        every = rows.T.ravel().astype(np.uint16)  # a radix sort
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        at = np.r_[ordered[starts].astype(np.int64), ROWS]
-        times = np.r_[np.diff(np.r_[starts, len(ordered)]), n].astype(np.float32)
-        sums = np.concatenate([np.add.reduceat(gradient[order % n], starts, axis=0), gradient.sum(axis=0, keepdims=True)])
-        sums /= np.sqrt(times)[:, None]
-        self.squares[at] += sums * sums
-        self.weights[at] -= RATE * sums / np.sqrt(self.squares[at])
-        self.used[at] += times
+def _blocks(numbers: np.ndarray, position: np.ndarray, lexicon: Lexicon, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Start, history and leaves of each block of tokens."""
+    for i in range(0, len(numbers), BLOCK):
+        cut = slice(max(0, i - 3), i + BLOCK)  # three words of history
+        leaves = lexicon.leaf_array[numbers[cut]]
+        past = i - cut.start
+        yield i, features(lexicon.hash_array[numbers[cut]], leaves, position[cut], shape)[:, past:], leaves[past:]
+
+
+class Sums:
+    """Seen and expected counts of each weight row with each branch."""
+
+    def __init__(self, weights: np.ndarray, shape: Shape) -> None:
+        self.weights, self.shape = weights, shape
+        self.seen = np.zeros(shape.size * CLASSES)
+        self.expected = np.zeros((CLASSES, shape.size))
+
+    def add(self, history: np.ndarray, leaves: np.ndarray) -> None:
+        for level in range(self.shape.levels):
+            at, rows, taken = branches(history, leaves, level, self.shape)
+            if not len(at):
+                continue
+            p = np.empty((CLASSES, len(at)))
+            for i in range(0, len(at), STEP):
+                p[:, i : i + STEP] = np.exp(log_softmax(self.weights, rows[:, i : i + STEP])).T
+            self.seen += np.bincount((rows * CLASSES + taken).ravel(), minlength=len(self.seen))
+            every = rows.ravel()
+            for k in range(CLASSES):
+                self.expected[k] += np.bincount(every, np.tile(p[k], len(rows)), self.shape.size)
 
 
 def _laid_out(texts_: list[bytes | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -231,64 +316,64 @@ def _laid_out(texts_: list[bytes | None], lexicon: Lexicon) -> tuple[np.ndarray,
     return lexicon.number([w for x in lists for w in x]), position, sizes, lists
 
 
-def _gradients(weights, own: dict[bytes, int]):
+def _gradients(weights, own: dict[bytes, int], shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lexicon, trainer = Lexicon(None, own), Trainer(weights.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        lexicon, sums = Lexicon(None, own, shape.levels), Sums(weights.value, shape)
         for b in pieces(batches, 2 << 20):
             numbers, position, _, _ = _laid_out(cells(b.column(0)), lexicon)
-            rows, kinds = features(lexicon.hash_array[numbers], position), lexicon.kind_array[numbers]
-            held.append((rows, kinds))
-            if sum(len(k) for _, k in held) < STEP:
-                continue
-            rows, kinds = np.concatenate([r for r, _ in held]), np.concatenate([k for _, k in held])
-            for i in range(0, len(kinds), STEP):
-                trainer.step(rows[i : i + STEP], kinds[i : i + STEP])
-            held = []
-        if held:
-            trainer.step(np.concatenate([r for r, _ in held]), np.concatenate([k for _, k in held]))
-        if trainer.used.any():
-            part = TaskContext.get().partitionId()
-            sums = trainer.weights * trainer.used[:, None]
-            chunks = range(0, ROWS + 1, CHUNK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c // CHUNK for c in chunks], pa.int64()), pa.array([part] * len(chunks), pa.int64()), pa.array([sums[c : c + CHUNK].tobytes() for c in chunks], pa.binary()), pa.array([trainer.used[c : c + CHUNK].tobytes() for c in chunks], pa.binary())],
-                names=["chunk", "part", "sums", "used"],
-            )
+            for _, history, leaves in _blocks(numbers, position, lexicon, shape):
+                sums.add(history, leaves)
+        part, seen = TaskContext.get().partitionId(), sums.seen.reshape(-1, CLASSES)
+        for c in range(0, shape.size, CHUNK):
+            s, e = seen[c : c + CHUNK], sums.expected[:, c : c + CHUNK].T
+            if s.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c // CHUNK], pa.int64()), pa.array([part], pa.int64()), pa.array([s.astype(np.float32).tobytes()], pa.binary()), pa.array([e.astype(np.float32).tobytes()], pa.binary())],
+                    names=["chunk", "part", "seen", "expected"],
+                )
 
     return run
 
 
+def _sum(parts) -> np.ndarray:
+    return np.sum([np.frombuffer(x, np.float32) for x in parts], axis=0, dtype=np.float64)
+
+
 def _added(key, rows: pd.DataFrame) -> pd.DataFrame:
-    add = lambda c: np.sum([np.frombuffer(x, np.float32) for x in rows[c]], axis=0, dtype=np.float32).tobytes()
-    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "sums": [add("sums")], "used": [add("used")]})
+    add = lambda c: _sum(rows[c]).astype(np.float32).tobytes()
+    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "seen": [add("seen")], "expected": [add("expected")]})
 
 
-_PARTS = "chunk long, part long, sums binary, used binary"
+_PARTS = "chunk long, part long, seen binary, expected binary"
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from all of docs (doc_id, text): each round takes the texts of one residue of a hash of the text.
+def biases(words: Vocabulary) -> np.ndarray:
+    """Weights before training: biases at the frequencies of the nodes' branches, the rest zero."""
+    shape = words.shape
+    weights = np.zeros((shape.size, CLASSES), np.float32)
+    for level in range(shape.levels):
+        tokens = words.leaf_tokens.reshape(CLASSES**level, CLASSES, -1).sum(axis=2) + 0.5
+        first = shape.rows + shape.first(level)
+        weights[first : first + len(tokens)] = np.log(tokens / tokens.sum(axis=1, keepdims=True))
+    return weights
 
-    The bias starts at the classes' frequencies, the rest at zero.
-    """
-    sc, own = docs.sparkSession.sparkContext, words.own
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
-    weights[ROWS] = np.log(np.maximum(words.class_tokens, 0.5) / max(words.n, 1))
-    for r in range(rounds):
+
+def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from all of docs (doc_id, text): each round sums the gradient over all texts and moves every weight once."""
+    sc, shape = docs.sparkSession.sparkContext, words.shape
+    weights = biases(words)
+    for _ in range(rounds):
         shared = sc.broadcast(weights)
-        rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text").mapInArrow(_gradients(shared, own), _PARTS)
+        rows = docs.select("text").coalesce(1 + words.n // TASK_TOKENS).mapInArrow(_gradients(shared, words.own, shape), _PARTS)
         for _ in range(3):  # sums of at most _FAN tasks meet at a time
             rows = rows.withColumn("part", F.expr(f"part div {_FAN}")).groupBy("chunk", "part").applyInPandas(_added, _PARTS)
-        new = weights.copy()
-        for x in rows.groupBy("chunk").agg(F.collect_list(F.struct("sums", "used")).alias("all")).collect():
-            sums = np.sum([np.frombuffer(s["sums"], np.float32) for s in x["all"]], axis=0).reshape(-1, CLASSES)
-            used = np.sum([np.frombuffer(s["used"], np.float32) for s in x["all"]], axis=0)
-            at = x["chunk"] * CHUNK + np.flatnonzero(used)
-            new[at] = sums[used > 0] / used[used > 0][:, None]
-        weights = new
+        weights = weights.copy()
+        for x in rows.groupBy("chunk").agg(F.collect_list(F.struct("seen", "expected")).alias("all")).collect():  # as large as the weights
+            seen, expected = (_sum([s[k] for s in x["all"]]).reshape(-1, CLASSES) for k in ("seen", "expected"))
+            at = x["chunk"] * CHUNK
+            weights[at : at + len(seen)] += (RATE * (seen - expected) / (np.maximum(seen, expected) + DAMP)).astype(np.float32)
     return weights
 
 
@@ -302,24 +387,27 @@ def _lexicon(name: str, words: Vocabulary) -> Lexicon:
     """The frequent words' numbers, built once in each Python worker."""
     if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[name] = Lexicon(words, words.own)
+        _KEPT[name] = Lexicon(words, words.own, words.shape.levels)
     return _KEPT[name]
 
 
-def _scored(model, name: str):
+def _scored(trained, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words = model.value
+        weights, words = trained.value
         lexicon = _lexicon(name, words)
         known = len(lexicon.base)
         counts = np.concatenate([[words.end_count], words.counts])
-        floor = np.log10(words.class_tokens + words.class_words + 1)
+        floor = np.log10(words.leaf_tokens + words.leaf_words + 1)
         for b in pieces(batches, 2 << 20):
             numbers, position, sizes, lists = _laid_out(cells(b.column(2)), lexicon)
-            rows, kinds = features(lexicon.hash_array[numbers], position), lexicon.kind_array[numbers]
-            log_class = np.empty(len(numbers))
-            for i in range(0, len(numbers), STEP):
-                z = log_softmax(weights, rows[i : i + STEP])
-                log_class[i : i + STEP] = z[np.arange(len(z)), kinds[i : i + STEP]]
+            model = np.empty(len(numbers))
+            for i, history, leaves in _blocks(numbers, position, lexicon, words.shape):
+                model[i : i + len(leaves)] = -floor[leaves]
+                for level in range(words.shape.levels):
+                    at, rows, taken = branches(history, leaves, level, words.shape)
+                    for j in range(0, len(at), STEP):
+                        z = log_softmax(weights, rows[:, j : j + STEP])
+                        model[i + at[j : j + STEP]] += z[np.arange(len(z)), taken[j : j + STEP]] / np.log(10)
             frequent = numbers < known
             c = np.where(frequent, counts[np.minimum(numbers, known - 1)], 0)
             logs = np.log10(c + 1.0)
@@ -336,7 +424,7 @@ def _scored(model, name: str):
                 ends.append(len(rare_words))
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(log_class / np.log(10) - floor[kinds])), rare],
+                [b.column(0), b.column(1), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(model)), rare],
                 names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"],
             )
 

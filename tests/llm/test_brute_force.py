@@ -572,11 +572,107 @@ def test_maxent_rare_words_by_join(spark, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in op9_maxent.score(docs).collect()} == every
 
 
+def test_maxent_leaves(spark):
+    """Leaves in SQL and in workers agree, and each word of the vocabulary is in one."""
+    words = [b"", b"a", b"of", b"the", "süß".encode(), "日本語".encode(), b"x" * 99]
+    for levels in range(1, op9_maxent.MOST_LEVELS + 1):
+        own = {b"": 0, b"of": 1}
+        got = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select("word", op9_maxent.leaf_column(own, levels).alias("k")).collect()
+        assert {bytes(r.word): r.k for r in got} == {w: op9_maxent.word_leaf(w, own, levels) for w in words}
+
+
 def test_maxent_sums_to_one():
+    """Over all leaves, probabilities sum to one after any history."""
     rng = np.random.default_rng(1)
-    weights = rng.standard_normal((op9_maxent.ROWS + 1, op9_maxent.CLASSES)).astype(np.float32)
-    rows = op9_maxent.features(rng.integers(0, 2**32, 50).astype(np.uint32), np.arange(50))
-    assert np.exp(op9_maxent.log_softmax(weights, rows)).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    for levels in (1, 2, 3):
+        shape = op9_maxent.Shape(levels, 12)
+        weights = rng.standard_normal((shape.size, op9_maxent.CLASSES)).astype(np.float32)
+        leaves = np.array([k for k in range(shape.leaves) if k // 16 ** (levels - 1) >= op9_maxent.OWN or k % 16 ** (levels - 1) == 0])
+        history = np.repeat(rng.integers(0, 2**63, (5, 1)).astype(np.uint64), len(leaves), axis=1)
+        logs = np.zeros(len(leaves))
+        for level in range(levels):
+            at, rows, taken = op9_maxent.branches(history, leaves, level, shape)
+            logs[at] += op9_maxent.log_softmax(weights, rows)[np.arange(len(at)), taken]
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def plain_maxent(texts: dict[int, str]) -> dict[int, float]:
+    """Training and scores a token at a time, sums in dictionaries."""
+    m = op9_maxent
+    texts = {i: m.tokens_of(t.encode()) for i, t in texts.items()}
+    learn = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in learn for w in t)
+    n, v = sum(counts.values()), len(counts)
+    levels = next((k for k in (1, 2, 3) if 16 ** (k + 1) >= v), 4)
+    bits = min(m.MOST_BITS, max(m.LEAST_BITS, (n // 8).bit_length()))
+    own = {w: k for k, w in enumerate([b"", *sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:7]])}
+    path = {w: m.word_leaf(w, own, levels) for t in texts.values() for w in t}
+    leaf_tokens, leaf_words = Counter(), Counter()
+    for w, c in counts.items():
+        leaf_tokens[path[w]] += c
+        leaf_words[path[w]] += 1
+    mask = 2**64 - 1
+    crc = zlib.crc32
+
+    def steps(t, j):
+        """(weight rows, branch) of each level on a token's path."""
+        one, two, three = (crc(t[j - k]) if j >= k else 0x1234567 for k in (1, 2, 3))
+        kind = path[t[j - 1]] >> 4 * max(0, levels - 2) if j else 0x1234567
+        history = [one * 0x9E3779B97F4A7C15, (one * 31 + two + 7) * 0xC2B2AE3D27D4EB4F, two * 0xD6E8FEB86659FD93 + (1 << 50), three * 0xA0761D6478BD642F + (3 << 50), (kind + 5) * 0xE7037ED1A0B428DB]
+        leaf = path[t[j]]
+        for level in range(levels if leaf >> 4 * (levels - 1) >= 8 else 1):
+            node = (leaf >> 4 * (levels - level)) + sum(16**k for k in range(level))
+            salt = (node + 1) * 0x8EBC6AF09C88C6E3 & mask
+            rows = [((((h & mask) ^ salt) * 0x9E3779B97F4A7C15) & mask) >> (64 - bits) for h in history]
+            yield [*rows, ("bias", node)], (leaf >> 4 * (levels - level - 1)) & 15
+
+    weights: dict = {}
+    for level in range(levels):
+        for k in range(16**level):
+            mass = np.array([0.5 + sum(c for x, c in leaf_tokens.items() if x >> 4 * (levels - level - 1) == 16 * k + b) for b in range(16)])
+            weights["bias", sum(16**j for j in range(level)) + k] = np.log(mass / mass.sum())
+
+    def chances(rows):
+        z = sum(weights.get(r, 0.0) for r in rows)
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    for _ in range(m.ROUNDS):
+        seen, expected = {}, {}
+        for t in learn:
+            for j in range(len(t)):
+                for rows, branch in steps(t, j):
+                    p = chances(rows)
+                    for r in rows:
+                        expected[r] = expected.get(r, 0.0) + p
+                        seen.setdefault(r, np.zeros(16))[branch] += 1
+        for r in seen:
+            weights[r] = weights.get(r, 0.0) + m.RATE * (seen[r] - expected[r]) / (np.maximum(seen[r], expected[r]) + m.DAMP)
+    out = {}
+    for i, t in texts.items():
+        out[i] = sum(math.log10((counts[w] + 1) / (leaf_tokens[path[w]] + leaf_words[path[w]] + 1)) for w in t)
+        out[i] += sum(math.log10(chances(rows)[branch]) for j in range(len(t)) for rows, branch in steps(t, j))
+    return out
+
+
+def test_maxent_score(spark, monkeypatch):
+    """Scores are those of plain training, in any number of tasks, blocks and sums."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}x{k * k % 97}" for k in range(400)]
+    texts = {i: " ".join(words[k] for k in (rng.integers(0, 20, 60).cumsum() % 400 if i % 2 else rng.integers(0, 400, int(rng.integers(0, 40))))) for i in range(60)}
+    want = plain_maxent(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(op9_maxent, "TASK_TOKENS", 200)
+    for parts in (1, 7, 32):
+        got = {r.doc_id: r.score for r in op9_maxent.score(rows.repartition(parts)).collect()}
+        assert got == {i: pytest.approx(x, abs=2e-3) for i, x in want.items()}
+    # Blocks are cut within texts, history and all.
+    lexicon, shape = op9_maxent.Lexicon(None, {}, 2), op9_maxent.Shape(2, 12)
+    numbers, position, _, _ = op9_maxent._laid_out([t.encode() for t in texts.values()], lexicon)
+    whole = [np.concatenate(x, axis=-1) for x in zip(*[(h, k) for _, h, k in op9_maxent._blocks(numbers, position, lexicon, shape)], strict=True)]
+    monkeypatch.setattr(op9_maxent, "BLOCK", 17)
+    cut = [np.concatenate(x, axis=-1) for x in zip(*[(h, k) for _, h, k in op9_maxent._blocks(numbers, position, lexicon, shape)], strict=True)]
+    assert all((x == y).all() for x, y in zip(whole, cut, strict=True))
 
 
 # --- op10
