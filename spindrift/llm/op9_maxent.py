@@ -12,7 +12,7 @@ scores do not hang on how texts are dealt to tasks, but for rounding. Biases sta
 
 Word counts cover all training texts and stay a distributed table. Only words at or above a count that leaves at most
 ``FREQUENT`` of them, 64 bytes long at most, are broadcast; the other words of each text meet their counts in a join,
-one row for each distinct word of a text. Weight rows grow with the training tokens up to ``2 ** MOST_BITS`` (8 MB),
+one row for each distinct word of a text. Weight rows grow with the training tokens up to ``2 ** MOST_BITS`` (4 MB),
 leaves with the vocabulary up to 65,536. So nothing on the driver or in a worker grows with the corpus beyond that.
 """
 
@@ -34,13 +34,13 @@ from .common import cells, pieces, shared_dir, stored, table, texts
 
 CLASSES, OWN = 16, 8  # branches of a node, and words that are leaves of their own
 MOST_LEVELS = 4
-LEAST_BITS, MOST_BITS = 12, 17
+LEAST_BITS, MOST_BITS = 12, 16
 FREQUENT, LONGEST = 300_000, 64
 ROUNDS = 2
 RATE, DAMP = 1.0, 16.0
 STEP = 16384  # tokens of one softmax
 BLOCK = 1 << 18  # tokens whose gradients are summed at once
-TASK_TOKENS = 6_000_000  # least tokens of a training task, whose sums are as large as the weights
+TASK_TOKENS = 2_000_000  # least tokens of a training task, whose sums are as large as the weights
 ROOM = 200_000  # words beside the frequent ones that a worker remembers
 END = b""
 CHUNK = 512
@@ -108,8 +108,8 @@ class Shape:
 
 
 def shape_of(n: int, v: int) -> Shape:
-    """Some 16 words a leaf and 8 tokens a row, within the bounds."""
-    levels = next((k for k in range(1, MOST_LEVELS) if CLASSES ** (k + 1) >= v), MOST_LEVELS)
+    """At most some 256 words a leaf and 8 tokens a row, within the bounds."""
+    levels = next((k for k in range(1, MOST_LEVELS) if 256 * CLASSES**k >= v), MOST_LEVELS)
     return Shape(levels, min(MOST_BITS, max(LEAST_BITS, (n // 8).bit_length())))
 
 
@@ -266,16 +266,21 @@ def branches(history: np.ndarray, leaves: np.ndarray, level: int, shape: Shape)
     return at, rows, (leaves >> below - 4) & CLASSES - 1
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the branches, sparse rows of the weights summed."""
-    z = weights[rows[0]]
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sparse rows of the weights summed. Weights move by at most RATE a round, so exponentials need no shift."""
+    z = np.take(weights, rows[0], axis=0)
+    row = np.empty_like(z)
     for k in range(1, len(rows)):
-        z += weights[rows[k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += np.take(weights, rows[k], axis=0, out=row, mode="clip")
     return z
 
 
+def log_chances(weights: np.ndarray, rows: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probabilities of the branches taken."""
+    z = logits(weights, rows)
+    return z[np.arange(len(z)), taken] - np.log(np.exp(z) @ np.ones(CLASSES, np.float32))
+
+
 def _blocks(numbers: np.ndarray, position: np.ndarray, lexicon: Lexicon, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Start, history and leaves of each block of tokens."""
     for i in range(0, len(numbers), BLOCK):
@@ -298,13 +303,17 @@ class Sums:
             at, rows, taken = branches(history, leaves, level, self.shape)
             if not len(at):
                 continue
+            self.seen += np.bincount((rows * CLASSES + taken).ravel(), minlength=len(self.seen))
             p = np.empty((CLASSES, len(at)))
             for i in range(0, len(at), STEP):
-                p[:, i : i + STEP] = np.exp(log_softmax(self.weights, rows[:, i : i + STEP])).T
-            self.seen += np.bincount((rows * CLASSES + taken).ravel(), minlength=len(self.seen))
-            every = rows.ravel()
-            for k in range(CLASSES):
-                self.expected[k] += np.bincount(every, np.tile(p[k], len(rows)), self.shape.size)
+                z = np.exp(logits(self.weights, rows[:, i : i + STEP]))
+                p[:, i : i + STEP] = (z / (z @ np.ones(CLASSES, np.float32))[:, None]).T
+            first = self.shape.rows + self.shape.first(level)
+            for j, row in enumerate(rows):
+                to = slice(0, self.shape.rows) if j < len(rows) - 1 else slice(first, first + CLASSES**level)
+                row = row - to.start
+                for k in range(CLASSES):
+                    self.expected[k, to] += np.bincount(row, p[k], to.stop - to.start)
 
 
 def _laid_out(texts_: list[bytes | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -406,8 +415,7 @@ def _scored(trained, name: str):
                 for level in range(words.shape.levels):
                     at, rows, taken = branches(history, leaves, level, words.shape)
                     for j in range(0, len(at), STEP):
-                        z = log_softmax(weights, rows[:, j : j + STEP])
-                        model[i + at[j : j + STEP]] += z[np.arange(len(z)), taken[j : j + STEP]] / np.log(10)
+                        model[i + at[j : j + STEP]] += log_chances(weights, rows[:, j : j + STEP], taken[j : j + STEP]) / np.log(10)
             frequent = numbers < known
             c = np.where(frequent, counts[np.minimum(numbers, known - 1)], 0)
             logs = np.log10(c + 1.0)

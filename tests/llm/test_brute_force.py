@@ -592,7 +592,7 @@ def test_maxent_sums_to_one():
         logs = np.zeros(len(leaves))
         for level in range(levels):
             at, rows, taken = op9_maxent.branches(history, leaves, level, shape)
-            logs[at] += op9_maxent.log_softmax(weights, rows)[np.arange(len(at)), taken]
+            logs[at] += op9_maxent.log_chances(weights, rows, taken)
         assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -603,7 +603,7 @@ def plain_maxent(texts: dict[int, str]) -> dict[int, float]:
     learn = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     counts = Counter(w for t in learn for w in t)
     n, v = sum(counts.values()), len(counts)
-    levels = next((k for k in (1, 2, 3) if 16 ** (k + 1) >= v), 4)
+    levels = next((k for k in (1, 2, 3) if 256 * 16**k >= v), 4)
     bits = min(m.MOST_BITS, max(m.LEAST_BITS, (n // 8).bit_length()))
     own = {w: k for k, w in enumerate([b"", *sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:7]])}
     path = {w: m.word_leaf(w, own, levels) for t in texts.values() for w in t}
