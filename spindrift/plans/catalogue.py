@@ -277,9 +277,9 @@ def ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and number of links of each page, and whether it has visible text."""
+    """Title, as escaping wrote it, and number of links of each page, and whether it has visible text."""
     found = exports.page_fields(load(spark, sf_dir, "pages"), "page_id", "html")
-    return found.select("page_id", "title", "n_links", (F.length("text") > 0).alias("has_text"))
+    return found.select("page_id", F.col("plain_title").alias("title"), "n_links", (F.length("text") > 0).alias("has_text"))
 
 
 def entropy_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

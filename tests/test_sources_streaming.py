@@ -4,9 +4,11 @@ import json
 import zipfile
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from spindrift.operators import link
+from spindrift.plans import catalogue
 from spindrift.sources import exports
 from spindrift.streaming import pairing
 
@@ -29,6 +31,20 @@ def test_html_messages(spark):
     assert [r.carried for r in carried] == ["history", "Ann", "Ann"]
 
 
+def test_page_titles(spark, tmp_path: Path):
+    """A title cut within a reference keeps it, as in the SQL; references that are whole are decoded once."""
+    titles = ["a&amp;&amp", " b &amp;lt; &lt;&quot;&#x27;&gt; ", "c&ampd &nbsp;&#39;", "plain"]
+    rows = [(k, f"<html><title>{t}</title><p>x</p><a href='y'>z</a>") for k, t in enumerate(titles)] + [(4, "<p>no title"), (5, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: r.plain_title for r in exports.page_fields(pages, "page_id", "html").collect()}
+    assert got == {0: "a&&amp", 1: "b &lt; <\"'>", 2: "c&ampd &nbsp;&#39;", 3: "plain", 4: "", 5: ""}
+    pages.repartition(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in con.execute(catalogue.oracle_sql()["html_extract"]).fetchall()}
+    assert {r.page_id: r.title for r in catalogue.queries()["html_extract"](spark, str(tmp_path)).collect()} == want | {5: ""}
+
+
 def test_json_manifest_zip_images(spark, tmp_path: Path):
     messages = [{"id": 1, "from": "A", "text": "x", "photo": "p/1.jpg"}, {"id": 2, "from": "B", "text": ["see ", {"type": "link", "text": "y"}], "file": "doc.pdf", "reply_to_message_id": 1}]
     (tmp_path / "result.json").write_text(json.dumps({"name": "R", "messages": messages}))
