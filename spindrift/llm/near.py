@@ -11,9 +11,8 @@ to the input. So candidates come from two indexes of deletion variants:
 
 Texts that meet compare ``SKETCH`` letters, a byte each. Of a small group all likely pairs are proposed, of a larger one
 a spanning forest of the likeliest. A pair links if the similarity of the shingle sets, computed on the texts, is 0.8 or
-more. If links that failed leave a group in parts, each part proposes its 8 likeliest pairs with other parts. So the pairs
-stay in proportion to the texts; a link between parts is lost only if it is not among these (tests/llm and the README have
-the recall).
+more. If links that failed leave a group in parts, all its texts that have a likely pair with another part are compared
+with each other, in blocks, by lists of the shingles: no pair is written but those that link, and none is left out.
 
 A key held by over ``MAX_GROUP`` texts is indexed again together with the variants of SEGMENTS further segments, and a
 third time if need be; each time 0.99 of the pairs at similarity 0.8 stay together.
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cells, checkpointed, dropped, pieces, shared_dir, stored, texts
@@ -37,8 +36,8 @@ SEGMENTS, LETTERS, LEVELS, SKETCH = 3, 4, 3, 240
 #: Pairs with so many equal bytes of the sketch are tested: 3.5 standard deviations below what similarity 0.8 gives.
 LIKELY = 170
 SMALL, MAX_GROUP = 8, 8192
-#: Pairs across that a part of a group proposes, round by round.
-ROUNDS = (8,)
+#: Bytes of text in a block of a group whose links have left it in parts.
+BLOCK = 8 << 20
 _MIXERS = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,18 +120,16 @@ def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(sketches: np.ndarray, roots: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """For each root its likeliest pairs of rows with rows of other roots, so many at most."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for i in range(sketches.shape[1]):
-        equal = np.add.reduce(sketches == sketches[:, i, None], axis=0, dtype=np.uint8)
-        likely = np.flatnonzero((equal >= LIKELY) & (roots != roots[i]))
-        if len(likely):
-            own = found.setdefault(int(roots[i]), [])
-            own += [(-int(equal[j]), min(i, j), max(i, j)) for j in likely[np.argsort(-equal[likely].astype(int), kind="stable")][:most].tolist()]
-            own.sort()
-            del own[most:]
-    return sorted({(i, j) for own in found.values() for _, i, j in own})
+def _across(sketches: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Whether each row has a likely pair with a row of another root."""
+    found = np.zeros(len(roots), bool)
+    for i in range(len(roots)):
+        if not found[i]:  # any other row still looks at all rows itself
+            equal = np.add.reduce(sketches == sketches[:, i, None], axis=0, dtype=np.uint8)
+            likely = (equal >= LIKELY) & (roots != roots[i])
+            found |= likely
+            found[i] = likely.any()
+    return found
 
 
 _PAIRS = "a long, b long, key long"
@@ -180,18 +177,15 @@ def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _frame(own[edges[:, 0]], own[edges[:, 1]], [int(keys[i])] * len(edges))
 
 
-def _more(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, key): pairs across roots of rows (key, t, root, sketch) sorted by key."""
-        for keys, (t, root), sketches in _groups(batches):
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            for i, z in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                if z - i > 1 and (root[i:z] != root[i]).any():
-                    edges = i + np.array(_across(np.ascontiguousarray(sketches[i:z].T), root[i:z], most), np.int64).reshape(-1, 2)
-                    if len(edges):
-                        yield _frame(t[edges[:, 0]], t[edges[:, 1]], [None] * len(edges))
-
-    return run
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t, root): the rows (key, t, root, sketch), sorted by key, that have a likely pair across roots of their group."""
+    for keys, (t, root), sketches in _groups(batches):
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for i, z in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            if z - i > 1 and (root[i:z] != root[i]).any():
+                at = i + np.flatnonzero(_across(np.ascontiguousarray(sketches[i:z].T), root[i:z]))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (keys, t, root)], names=["key", "t", "root"])
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -241,6 +235,83 @@ def tested(pairs: DataFrame, company: DataFrame) -> DataFrame:
     return pairs.join(own("a", "ta"), "a").join(own("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_tested, "a long, b long, ok boolean")
 
 
+def _joined(sets: list[np.ndarray], roots: list[int], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows of different roots, by the similarity of all pairs; one for each two parts that they join.
+
+    With two sides, only pairs of rows of both are looked at. A row meets the rows that share a shingle with it by the
+    shingles' lists, which give the size of each intersection.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    above: dict[int, int] = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    by_code = np.argsort(code, kind="stable")
+    holder = np.repeat(np.arange(n), sizes)[by_code]
+    lengths = np.bincount(code)
+    ends, at = np.cumsum(lengths), np.r_[0, np.cumsum(sizes)]
+    number = {r: k for k, r in enumerate(above)}
+    part = np.array([number[r] for r in roots])
+    split, parts, out = bool((sides != sides[0]).any()), len(above), []
+    for i in range(n):
+        if parts == 1:
+            break
+        if split and sides[i]:
+            continue
+        own = code[at[i] : at[i + 1]]
+        each = lengths[own]
+        spots = np.repeat(ends[own] - np.cumsum(each), each) + np.arange(each.sum())
+        both = np.bincount(holder[spots], minlength=n)
+        either = sizes + sizes[i] - both
+        near = np.where(either > 0, both / np.maximum(either, 1), 1.0) >= LEAST
+        near &= (sides == 1) if split else (np.arange(n) > i)
+        for j in np.flatnonzero(near & (part != part[i])).tolist():
+            a, b = top(roots[i]), top(roots[j])
+            if a != b:
+                above[b] = a
+                parts -= 1
+                out.append((i, j))
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ok): links across roots of rows (key, side, t, root, text) sorted by key; the text is kept as its shingles only."""
+    now, held = None, []
+
+    def links_of() -> Iterator[pa.RecordBatch]:
+        found = _joined([x[3] for x in held], [x[2] for x in held], np.array([x[0] for x in held])) if len(held) > 1 else []
+        if found:
+            a, b = ([held[pair[k]][1] for pair in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(a))], names=["a", "b", "ok"])
+
+    for batch in pieces(batches):
+        for key, side, t, root, text in zip(*[batch.column(k).to_pylist() for k in range(4)], cells(batch.column(4)), strict=True):
+            if key != now:
+                yield from links_of()
+                now, held = key, []
+            held.append((side, t, root, np.unique(shingle_hashes(text or b"", SHINGLE))))
+    yield from links_of()
+
+
+def linked_across(parted: DataFrame, company: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, ok): links that join different roots within the groups of parted (key, t, root), by all pairs of texts.
+
+    A group is cut in blocks of so many bytes of text, and each two blocks of it (and each block by itself) are a task's
+    work, so a large group is neither held nor looked through by one task.
+    """
+    sized = parted.join(company.select("t", (F.coalesce(F.octet_length("text"), F.lit(0)) + SKETCH).alias("bytes")), "t")
+    blocks = checkpointed(sized.select("key", "t", "root", F.floor(F.sum("bytes").over(Window.partitionBy("key").orderBy("t")) / block).alias("block")))
+    most = blocks.groupBy("key").agg(F.max("block").alias("last"))
+    met = blocks.join(most, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    rows = met.select(F.xxhash64("key", low, high).alias("key"), (F.col("block") > F.col("other")).cast("int").alias("side"), "t", "root")
+    return rows.join(company.select("t", "text"), "t").select("key", "side", "t", "root", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long, ok boolean")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -265,15 +336,13 @@ def rooted(docs: DataFrame, folder: str, max_group: int = MAX_GROUP) -> tuple[Da
     company = bodies(docs, base, wanted, folder, "company")
     links_ = checkpointed(tested(pairs, company))
     roots = connected_components(links_.filter("ok").select("a", "b"))
-    for most in ROUNDS:
-        label = roots.select(F.col("node").alias("t"), "root")
-        live = thinned.join(label, "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"), "sketch")
-        fresh = checkpointed(_ordered(_sorted(live).mapInArrow(_more(most), _PAIRS).select("a", "b")).join(links_.select("a", "b"), ["a", "b"], "left_anti"))
-        found = checkpointed(tested(fresh, company))
-        if found.filter("ok").isEmpty():
-            break
-        links_ = links_.unionByName(found)
-        roots = connected_components(links_.filter("ok").select("a", "b"))
+    label = roots.select(F.col("node").alias("t"), "root")
+    live = thinned.join(label, "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"), "sketch")
+    parted = checkpointed(_sorted(live).mapInArrow(_parted, "key long, t long, root long"))
+    if not parted.isEmpty():
+        found = checkpointed(linked_across(parted, company))
+        if not found.isEmpty():
+            roots = connected_components(links_.filter("ok").unionByName(found).select("a", "b"))
     return docs.select("doc_id", F.xxhash64("text").alias("t")), base.select("t", "first_id").join(roots, F.col("t") == F.col("node"), "left").select("t", "first_id", F.coalesce("root", "t").alias("root"))
 
 

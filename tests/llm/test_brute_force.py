@@ -268,6 +268,30 @@ def test_near_components_of_a_star(spark, group):
     assert sum(r.component_id == 0 for r in got) >= 0.95 * (1 + sum(a == 0 for a, _ in true))
 
 
+def crowded(rnd: random.Random, families: int, size: int, twins: int) -> list[tuple[int, str]]:
+    """Families of texts just below the limit of similarity to each other, among them twins just above it."""
+    rows = []
+    for _ in range(families):
+        core = [f"w{rnd.randrange(10**9)}" for _ in range(176)]
+        tails = [[f"e{rnd.randrange(10**9)}" for _ in range(23)] for _ in range(size)]
+        for k in range(twins):
+            tails[2 * k + 1][:3] = tails[2 * k][:3]
+        rows += [" ".join(core + t) for t in tails]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [near.BLOCK, 10_000])
+def test_near_links_among_many_that_fail(spark, block, monkeypatch):
+    """A text has far more likely pairs that fail than one that links; the one is found all the same, in blocks or not."""
+    monkeypatch.setattr(near.linked_across, "__defaults__", (block,))
+    rows = crowded(random.Random(43), 4, 60, 10)
+    true = pairs_of(rows)
+    assert true == {(60 * f + 2 * k, 60 * f + 2 * k + 1) for f in range(4) for k in range(10)}
+    got = {r.doc_id: r.component_id for r in near.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [a for a, b in true if got[a] != got[b]]
+    assert not lost and len(set(got.values())) == len(rows) - len(true)
+
+
 def test_near_candidates_stay_in_proportion(spark):
     """Ten times the texts give about ten times the pairs, near copies and texts that share a passage among them."""
     rnd, passage = random.Random(42), " ".join(f"p{k}" for k in range(60))
