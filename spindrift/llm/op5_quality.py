@@ -35,6 +35,10 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 MINIMA = 6
 #: Texts that a worker remembers, so that exact copies give their lines once a task.
 REMEMBERED = 200_000
+#: Rows of two or three numbers that are broadcast whatever the session's threshold.
+FEW = 100_000
+#: Longs of the bitmap that tells the lines of wanted texts from most others before they are shuffled.
+SLOTS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -164,21 +168,38 @@ def _above(rows: DataFrame, member: str, policy: QualityPolicy) -> DataFrame:
     return rows.select("host", "line", member).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > policy.max_docs_per_host).select("host", "line")
 
 
-def near_frequent(rest: DataFrame, many: DataFrame) -> DataFrame:
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """rows for the smaller side of a join: n of them at most, broadcast where these are few."""
+    return F.broadcast(rows) if n <= FEW else rows
+
+
+def possible(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows but most of those whose text_key is not in keys (text_key); none whose is. For the exact join behind it, which then shuffles less.
+
+    The bitmap has a bit for some 16 million values of text_key, whatever the number of keys: at most SLOTS rows are broadcast.
+    """
+    slot = (F.shiftright("text_key", 6).bitwiseAND(F.lit(SLOTS - 1))).alias("slot")
+    bit = F.expr("shiftleft(1L, cast(text_key & 63 as int))")
+    bits = keys.groupBy(slot).agg(F.bit_or(bit).alias("bits"))
+    found = rows.withColumn("slot", slot).join(F.broadcast(bits), "slot").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return found.select(*rows.columns)
+
+
+def near_frequent(rest: DataFrame, many: DataFrame, n_many: int) -> DataFrame:
     """(host, line, label) of the lines of rest that share a sample with a line of many, and the least of these.
 
     One side of the join has a row for each host and sample, so no two lists meet in full.
     """
     spread = lambda rows: rows.groupBy("host", "line").agg(F.array(*[F.first(c) for c in NEAR]).alias("near")).select("host", "line", F.posexplode("near").alias("k", "value"))
     least = spread(many).groupBy("host", "k", "value").agg(F.min("line").alias("label"))
-    return spread(rest).join(least, ["host", "k", "value"]).groupBy("host", "line").agg(F.min("label").alias("label"))
+    return spread(rest).join(_sent(least, MINIMA * n_many), ["host", "k", "value"]).groupBy("host", "line").agg(F.min("label").alias("label"))
 
 
-def documents_of(held: DataFrame, many: DataFrame, policy: QualityPolicy) -> DataFrame:
+def documents_of(held: DataFrame, many: DataFrame, n_many: int, policy: QualityPolicy) -> DataFrame:
     """(host, text_key, document) of the texts of held (all lines of texts that hold a line of many): what tells documents apart."""
-    flagged = held.join(many.withColumn("many", F.lit(True)), ["host", "line"], "left")
+    flagged = held.join(_sent(many.withColumn("many", F.lit(True)), n_many), ["host", "line"], "left")
     rest = flagged.filter("many IS NULL")
-    labels = near_frequent(rest, flagged.filter("many"))
+    labels = near_frequent(rest, flagged.filter("many"), n_many)
     frequent = flagged.filter("many").select("host", "text_key", "words", F.col("line").alias("label"), F.lit(None).cast("long").alias("own"))
     others = rest.select("host", "text_key", "line", "words").join(labels, ["host", "line"], "left").select("host", "text_key", "words", "label", F.when(F.col("label").isNull(), F.col("line")).alias("own"))
     sums = frequent.unionByName(others).groupBy("host", "text_key").agg(
@@ -191,10 +212,12 @@ def frequent_lines(lines: DataFrame, policy: QualityPolicy = QualityPolicy()) ->
     """(host, line) of the lines above the limit. Only lines in so many distinct texts, and the texts that hold them, are looked at closer."""
     folder = shared_dir(lines.sparkSession)
     many = stored(_above(lines, "text_key", policy), folder, "many")
-    hits = lines.join(many, ["host", "line"], "left_semi").select("host", "text_key", "line")
-    held = stored(lines.join(hits.select("host", "text_key").distinct(), ["host", "text_key"], "left_semi").dropDuplicates(["host", "text_key", "line"]), folder, "held")
-    documents = documents_of(held, many, policy)
-    counted = _above(held.select("host", "text_key", "line").join(many, ["host", "line"], "left_semi").join(documents, ["host", "text_key"]), "document", policy)
+    n_many = many.count()
+    # wanted is distinct: an inner join, as a semi join would be pushed below that with the bitmap
+    wanted = stored(lines.join(_sent(many, n_many), ["host", "line"], "left_semi").select("host", "text_key").distinct(), folder, "wanted")
+    held = stored(possible(lines, wanted).join(wanted, ["host", "text_key"]).select(*lines.columns).dropDuplicates(["host", "text_key", "line"]), folder, "held")
+    documents = documents_of(held, many, n_many, policy)
+    counted = _above(held.select("host", "text_key", "line").join(_sent(many, n_many), ["host", "line"], "left_semi").join(documents, ["host", "text_key"]), "document", policy)
     found = stored(counted, shared_dir(lines.sparkSession), "frequent")
     dropped(lines.sparkSession, folder)
     return found
@@ -205,7 +228,7 @@ def _removed(docs: DataFrame, policy: QualityPolicy) -> tuple[DataFrame, DataFra
     folder = shared_dir(docs.sparkSession)
     lines = stored(document_lines(docs), folder, "lines")
     frequent = frequent_lines(lines, policy)
-    hits = lines.join(frequent, ["host", "line"], "left_semi").groupBy("host", "text_key", "line").agg(F.max("words").alias("words"))
+    hits = lines.join(_sent(frequent, frequent.count()), ["host", "line"], "left_semi").groupBy("host", "text_key", "line").agg(F.max("words").alias("words"))
     return hits, hits.groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"))
 
 

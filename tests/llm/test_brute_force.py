@@ -407,6 +407,23 @@ def test_quality_depleted_and_copies(spark):
     assert all(got[i].kept and got[i].removed_words == 20 for i in range(500) if i in got)
 
 
+def test_quality_shuffles_lines_of_wanted_texts(spark, monkeypatch):
+    """All lines of wanted texts pass the bitmap and hardly any other, with keys of either sign and with joins that do not broadcast."""
+    rnd = np.random.default_rng(5)
+    keys = rnd.integers(-(1 << 63), 1 << 63, 20_000).tolist()
+    rows = spark.createDataFrame([(k, j) for k in keys for j in range(2)], "text_key long, line long")
+    wanted = spark.createDataFrame([(k,) for k in keys[:1000]], "text_key long")
+    got = [tuple(r) for r in op5_quality.possible(rows, wanted).collect()]
+    assert len(got) == len(set(got)) <= 2100 and set(got) >= {(k, j) for k in keys[:1000] for j in range(2)}
+    assert op5_quality.possible(rows, wanted.limit(0)).isEmpty()
+    line, texts = prose(random.Random(23), 20), [prose(random.Random(k), 90) for k in range(90)]
+    docs = spark.createDataFrame([(i, "h", f"{t}\n{line}" if i < 40 else t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    want = sorted(map(tuple, op5_quality.quality(docs).collect()))
+    assert [r[-1] for r in want] == [20] * 40 + [0] * 50
+    monkeypatch.setattr(op5_quality, "FEW", -1)
+    assert sorted(map(tuple, op5_quality.quality(docs).collect())) == want
+
+
 def test_quality_counts_documents_whatever_their_words(spark):
     """200 documents of one host share a line: all lose it, with short or long own words, a long or a short line."""
     rnd = random.Random(22)
