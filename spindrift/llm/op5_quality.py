@@ -214,7 +214,7 @@ def frequent_lines(lines: DataFrame, policy: QualityPolicy = QualityPolicy()) ->
     many = stored(_above(lines, "text_key", policy), folder, "many")
     n_many = many.count()
     # wanted is distinct: an inner join, as a semi join would be pushed below that with the bitmap
-    wanted = stored(lines.join(_sent(many, n_many), ["host", "line"], "left_semi").select("host", "text_key").distinct(), folder, "wanted")
+    wanted = lines.join(_sent(many, n_many), ["host", "line"], "left_semi").select("host", "text_key").distinct()
     held = stored(possible(lines, wanted).join(wanted, ["host", "text_key"]).select(*lines.columns).dropDuplicates(["host", "text_key", "line"]), folder, "held")
     documents = documents_of(held, many, n_many, policy)
     counted = _above(held.select("host", "text_key", "line").join(_sent(many, n_many), ["host", "line"], "left_semi").join(documents, ["host", "text_key"]), "document", policy)
