@@ -10,6 +10,10 @@ Training is synchronous: in each round all tasks sum the gradient of their texts
 and every weight moves once, by the gradient over the greater of what was seen and what was expected. So weights and
 scores do not hang on how texts are dealt to tasks, but for rounding. Biases start at the counts of the branches.
 
+Texts are split twice, to count words and to lay out each token's hash and leaf; rounds and scores read only the latter,
+6 bytes a token. What was seen is the same in every round and is summed in the first alone. There all weights but the
+biases are zero, so the chances hang on the node alone: counts of (row, node) give what was expected.
+
 Word counts cover all training texts and stay a distributed table. Only words at or above a count that leaves at most
 ``FREQUENT`` of them, 64 bytes long at most, are broadcast; the other words of each text meet their counts in a join,
 one row for each distinct word of a text. Weight rows grow with the training tokens up to ``2 ** MOST_BITS`` (4 MB),
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +44,8 @@ FREQUENT, LONGEST = 300_000, 64
 ROUNDS = 2
 RATE, DAMP = 1.0, 16.0
 STEP = 16384  # tokens of one softmax
-BLOCK = 1 << 18  # tokens whose gradients are summed at once
+BLOCK = 1 << 16  # tokens whose rows are found, and whose chances are summed in single precision, at once
+JOINT = 1 << 23  # most pairs of a row and a node that are counted at a level
 TASK_TOKENS = 2_000_000  # least tokens of a training task, whose sums are as large as the weights
 ROOM = 200_000  # words beside the frequent ones that a worker remembers
 END = b""
@@ -113,15 +119,22 @@ def shape_of(n: int, v: int) -> Shape:
     return Shape(levels, min(MOST_BITS, max(LEAST_BITS, (n // 8).bit_length())))
 
 
-def word_leaf(word: bytes, own: dict[bytes, int], levels: int) -> int:
-    if word in own:
-        return own[word] * CLASSES ** (levels - 1)
-    leaf = OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
+def word_leaves(words: list[bytes], hashes: np.ndarray, own: dict[bytes, int], levels: int) -> np.ndarray:
+    """Leaves of words, whose crc32 hashes are."""
+    crc = lambda parts: np.fromiter(map(zlib.crc32, parts), np.int64, len(words))
+    leaves = OWN + crc([w[-2:] for w in words]) % (CLASSES - OWN)
     if levels > 1:
-        leaf = leaf * CLASSES + (zlib.crc32(word[-3:]) >> 9) % CLASSES
+        leaves = leaves * CLASSES + (crc([w[-3:] for w in words]) >> 9) % CLASSES
     for k in range(2, levels):
-        leaf = leaf * CLASSES + (zlib.crc32(word) >> (4 * k + 8)) % CLASSES
-    return leaf
+        leaves = leaves * CLASSES + (hashes.astype(np.int64) >> (4 * k + 8)) % CLASSES
+    for k, w in enumerate(words):
+        if w in own:
+            leaves[k] = own[w] * CLASSES ** (levels - 1)
+    return leaves
+
+
+def word_leaf(word: bytes, own: dict[bytes, int], levels: int) -> int:
+    return int(word_leaves([word], np.array([zlib.crc32(word)]), own, levels)[0])
 
 
 def leaf_column(own: dict[bytes, int], levels: int):
@@ -199,21 +212,21 @@ class Lexicon:
     def __init__(self, vocabulary: Vocabulary | None, own: dict[bytes, int], levels: int) -> None:
         self.own, self.levels = own, levels
         self.base = [END] + (vocabulary.words.split() if vocabulary else [])
+        room = len(self.base) + 2 * ROOM
+        self.hash_array, self.leaf_array = np.zeros(room, np.uint32), np.zeros(room, np.int64)
+        self._fill(0, self.base)
         self.reset()
 
     def reset(self) -> None:
         self.numbers = _Numbers(zip(self.base, range(len(self.base)), strict=True))
         self.numbers.fresh = []
-        room = len(self.base) + 2 * ROOM
-        self.hash_array, self.leaf_array = np.zeros(room, np.uint32), np.zeros(room, np.int64)
-        self._fill(0, self.base)
 
     def _fill(self, at: int, words: list[bytes]) -> None:
         end = at + len(words)
         if end > len(self.hash_array):
             self.hash_array, self.leaf_array = np.resize(self.hash_array, 2 * end), np.resize(self.leaf_array, 2 * end)
-        self.hash_array[at:end] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-        self.leaf_array[at:end] = np.fromiter((word_leaf(w, self.own, self.levels) for w in words), np.int64, len(words))
+        self.hash_array[at:end] = hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        self.leaf_array[at:end] = word_leaves(words, hashes, self.own, self.levels)
 
     def number(self, words: list[bytes]) -> np.ndarray:
         numbers = self.numbers
@@ -281,67 +294,151 @@ def log_chances(weights: np.ndarray, rows: np.ndarray, taken: np.ndarray) -> np.
     return z[np.arange(len(z)), taken] - np.log(np.exp(z) @ np.ones(CLASSES, np.float32))
 
 
-def _blocks(numbers: np.ndarray, position: np.ndarray, lexicon: Lexicon, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _histories(hashes: np.ndarray, leaves: np.ndarray, position: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Start, history and leaves of each block of tokens."""
-    for i in range(0, len(numbers), BLOCK):
+    for i in range(0, len(hashes), BLOCK):
         cut = slice(max(0, i - 3), i + BLOCK)  # three words of history
-        leaves = lexicon.leaf_array[numbers[cut]]
+        here = leaves[cut].astype(np.int64)
         past = i - cut.start
-        yield i, features(lexicon.hash_array[numbers[cut]], leaves, position[cut], shape)[:, past:], leaves[past:]
+        yield i, features(hashes[cut], here, position[cut], shape)[:, past:], here[past:]
+
+
+def _blocks(numbers: np.ndarray, position: np.ndarray, lexicon: Lexicon, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return _histories(lexicon.hash_array[numbers], lexicon.leaf_array[numbers], position, shape)
+
+
+def chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities of all branches."""
+    z = logits(weights, rows)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(CLASSES, np.float32))[:, None]
+    return z
 
 
 class Sums:
-    """Seen and expected counts of each weight row with each branch."""
+    """Expected counts of each weight row with each branch; in the first round the seen ones too.
+
+    Two neighbouring branches are added at a time, as the parts of a complex number: numpy has no other compiled
+    addition by index of more than one float.
+    """
 
-    def __init__(self, weights: np.ndarray, shape: Shape) -> None:
-        self.weights, self.shape = weights, shape
-        self.seen = np.zeros(shape.size * CLASSES)
-        self.expected = np.zeros((CLASSES, shape.size))
+    def __init__(self, weights: np.ndarray, shape: Shape, first: bool) -> None:
+        self.weights, self.shape, self.first = weights, shape, first
+        self.singles = np.zeros((CLASSES // 2, shape.size), np.complex64)
+        self.doubles = np.zeros((CLASSES // 2, 2 * shape.size))
+        if first:
+            self.seen = np.zeros(shape.size * CLASSES, np.int64)
+            self.by_node = chances(weights, np.arange(shape.rows, shape.size)[None])
+            self.joint = [np.zeros(shape.rows * self.nodes(k), np.int64) if shape.rows * self.nodes(k) <= JOINT else None for k in range(shape.levels)]
+
+    def past(self, level: int) -> int:
+        """Nodes of a level that no path goes through, as the first branches of the root are leaves."""
+        return OWN * CLASSES ** (level - 1) if level else 0
+
+    def nodes(self, level: int) -> int:
+        return CLASSES**level - self.past(level)
 
     def add(self, history: np.ndarray, leaves: np.ndarray) -> None:
         for level in range(self.shape.levels):
             at, rows, taken = branches(history, leaves, level, self.shape)
             if not len(at):
                 continue
-            self.seen += np.bincount((rows * CLASSES + taken).ravel(), minlength=len(self.seen))
-            p = np.empty((CLASSES, len(at)))
-            for i in range(0, len(at), STEP):
-                z = np.exp(logits(self.weights, rows[:, i : i + STEP]))
-                p[:, i : i + STEP] = (z / (z @ np.ones(CLASSES, np.float32))[:, None]).T
-            first = self.shape.rows + self.shape.first(level)
-            for j, row in enumerate(rows):
-                to = slice(0, self.shape.rows) if j < len(rows) - 1 else slice(first, first + CLASSES**level)
-                row = row - to.start
-                for k in range(CLASSES):
-                    self.expected[k, to] += np.bincount(row, p[k], to.stop - to.start)
-
-
-def _laid_out(texts_: list[bytes | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Word numbers of all texts in a row, each token's place in its text, and texts' lengths."""
-    lists = [tokens_of(t or b"") for t in texts_]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    position = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
-    return lexicon.number([w for x in lists for w in x]), position, sizes, lists
-
-
-def _gradients(weights, own: dict[bytes, int], shape: Shape):
+            if self.first:
+                np.add.at(self.seen, (rows * CLASSES + taken).ravel(), 1)
+                node = rows[-1] - self.shape.rows
+                if self.joint[level] is not None:
+                    node -= self.shape.first(level) + self.past(level)
+                    np.add.at(self.joint[level], (rows[:-1] * self.nodes(level) + node).ravel(), 1)
+                else:
+                    self._scatter(rows[:-1], np.take(self.by_node, node, axis=0))
+            else:
+                for i in range(0, len(at), STEP):
+                    part = rows[:, i : i + STEP]
+                    p = chances(self.weights, part)
+                    if level:
+                        self._scatter(part, p)
+                    else:  # all tokens meet in the root's bias
+                        self._scatter(part[:-1], p)
+                        self.doubles[:, 2 * self.shape.rows : 2 * self.shape.rows + 2] += (np.ones(len(p), np.float32) @ p).reshape(-1, 2)
+        if not self.first or any(x is None for x in self.joint):
+            self.doubles += self.singles.view(np.float32)
+            self.singles[:] = 0
+
+    def _scatter(self, rows: np.ndarray, p: np.ndarray) -> None:
+        pairs = np.ascontiguousarray(p.view(np.complex64).T)
+        for row in rows:
+            for to, x in zip(self.singles, pairs, strict=True):
+                np.add.at(to, row, x)
+
+    def expected(self) -> np.ndarray:
+        out = np.ascontiguousarray(self.doubles.reshape(CLASSES // 2, -1, 2).transpose(1, 0, 2)).reshape(-1, CLASSES)
+        if self.first:
+            rows = self.shape.rows
+            out[rows:] = self.seen.reshape(-1, CLASSES)[rows:].sum(axis=1, keepdims=True) * self.by_node.astype(np.float64)
+            for level, joint in enumerate(self.joint):
+                if joint is not None:
+                    at = self.shape.first(level) + self.past(level)
+                    p = self.by_node[at : at + self.nodes(level)].astype(np.float64)
+                    for i in range(0, rows, 4096):
+                        out[i : min(i + 4096, rows)] += joint.reshape(rows, -1)[i : i + 4096] @ p
+        return out
+
+
+def _words(column: pa.Array) -> list[bytes]:
+    """Bytes of a column of words, none of which has a blank: quicker than cell by cell."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(column)], column.cast(pa.string())), " ")[0].as_buffer().to_pybytes().split(b" ") if len(column) else []
+
+
+def _laid_out(texts_, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[pa.Array, np.ndarray]]:
+    """Word numbers of all texts in a row, each token's place in its text, texts' lengths, and the distinct words with
+    each token's place among them. texts_: strings or their bytes; words are those of tokens_of."""
+    column = texts_ if isinstance(texts_, pa.Array) else pa.array(texts_, pa.binary())
+    kind = {pa.binary(): pa.string(), pa.large_binary(): pa.large_string()}.get(column.type)
+    split = pc.ascii_split_whitespace(pc.ascii_lower((column.view(kind) if kind else column).fill_null("")))
+    found = split.flatten().dictionary_encode()
+    words = _words(found.dictionary)
+    places = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    if END in words:  # blanks at either end of a text leave an empty word there
+        full = places != words.index(END)
+        places, text = places[full], text[full]
+    sizes = np.bincount(text, minlength=len(split)) + 1
+    among = np.full(int(sizes.sum()), len(words))
+    among[np.arange(len(places)) + text] = places
+    position = np.arange(len(among)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return lexicon.number([*words, END])[among], position, sizes, (found.dictionary, among)
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers held in the cells of a binary column, in a row, and how many each cell has."""
+    wide = pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, leaves, places in their texts of all tokens, and texts' lengths."""
+    hashes, sizes = _flat(b.column("hashes"), np.uint32)
+    return hashes, _flat(b.column("leaves"), np.uint16)[0], np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+def _gradients(weights, shape: Shape, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lexicon, sums = Lexicon(None, own, shape.levels), Sums(weights.value, shape)
-        for b in pieces(batches, 2 << 20):
-            numbers, position, _, _ = _laid_out(cells(b.column(0)), lexicon)
-            for _, history, leaves in _blocks(numbers, position, lexicon, shape):
-                sums.add(history, leaves)
-        part, seen = TaskContext.get().partitionId(), sums.seen.reshape(-1, CLASSES)
+        _KEPT.clear()  # words are laid out by now
+        sums = Sums(weights.value, shape, first)
+        for b in pieces(batches):
+            hashes, leaves, position, _ = _read(b)
+            for _, history, here in _histories(hashes, leaves, position, shape):
+                sums.add(history, here)
+        part, expected = TaskContext.get().partitionId(), sums.expected()
+        seen = sums.seen.reshape(-1, CLASSES) if first else None
         for c in range(0, shape.size, CHUNK):
-            s, e = seen[c : c + CHUNK], sums.expected[:, c : c + CHUNK].T
-            if s.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c // CHUNK], pa.int64()), pa.array([part], pa.int64()), pa.array([s.astype(np.float32).tobytes()], pa.binary()), pa.array([e.astype(np.float32).tobytes()], pa.binary())],
-                    names=["chunk", "part", "seen", "expected"],
-                )
+            e = expected[c : c + CHUNK]
+            if e.any():
+                both = np.stack([seen[c : c + CHUNK], e]) if first else e
+                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int64()), pa.array([part], pa.int64()), pa.array([both.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "part", "sums"])
 
     return run
 
@@ -351,11 +448,10 @@ def _sum(parts) -> np.ndarray:
 
 
 def _added(key, rows: pd.DataFrame) -> pd.DataFrame:
-    add = lambda c: _sum(rows[c]).astype(np.float32).tobytes()
-    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "seen": [add("seen")], "expected": [add("expected")]})
+    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "sums": [_sum(rows["sums"]).astype(np.float32).tobytes()]})
 
 
-_PARTS = "chunk long, part long, seen binary, expected binary"
+_PARTS = "chunk long, part long, sums binary"
 
 
 def biases(words: Vocabulary) -> np.ndarray:
@@ -369,20 +465,22 @@ def biases(words: Vocabulary) -> np.ndarray:
     return weights
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from all of docs (doc_id, text): each round sums the gradient over all texts and moves every weight once."""
-    sc, shape = docs.sparkSession.sparkContext, words.shape
-    weights = biases(words)
-    for _ in range(rounds):
+def train(laid: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from all of laid (hashes, leaves): each round sums the gradient over all texts and moves every weight once."""
+    sc, shape = laid.sparkSession.sparkContext, words.shape
+    weights, seen = biases(words), np.zeros((shape.size, CLASSES))
+    for k in range(rounds):
         shared = sc.broadcast(weights)
-        rows = docs.select("text").coalesce(1 + words.n // TASK_TOKENS).mapInArrow(_gradients(shared, words.own, shape), _PARTS)
+        rows = laid.select("hashes", "leaves").coalesce(1 + words.n // TASK_TOKENS).mapInArrow(_gradients(shared, shape, k == 0), _PARTS)
         for _ in range(3):  # sums of at most _FAN tasks meet at a time
             rows = rows.withColumn("part", F.expr(f"part div {_FAN}")).groupBy("chunk", "part").applyInPandas(_added, _PARTS)
-        weights = weights.copy()
-        for x in rows.groupBy("chunk").agg(F.collect_list(F.struct("seen", "expected")).alias("all")).collect():  # as large as the weights
-            seen, expected = (_sum([s[k] for s in x["all"]]).reshape(-1, CLASSES) for k in ("seen", "expected"))
-            at = x["chunk"] * CHUNK
-            weights[at : at + len(seen)] += (RATE * (seen - expected) / (np.maximum(seen, expected) + DAMP)).astype(np.float32)
+        expected = np.zeros((shape.size, CLASSES))
+        for x in rows.groupBy("chunk").agg(F.collect_list("sums").alias("all")).collect():  # as large as the weights
+            at, found = x["chunk"] * CHUNK, _sum(x["all"]).reshape(2 if k == 0 else 1, -1, CLASSES)
+            expected[at : at + found.shape[1]] = found[-1]
+            if k == 0:
+                seen[at : at + found.shape[1]] = found[0]
+        weights = weights + (RATE * (seen - expected) / (np.maximum(seen, expected) + DAMP)).astype(np.float32)
     return weights
 
 
@@ -400,41 +498,61 @@ def _lexicon(name: str, words: Vocabulary) -> Lexicon:
     return _KEPT[name]
 
 
-def _scored(trained, name: str):
+_LAID = "held_out boolean, n_tokens long, known long, logs double, rare array<struct<word:binary,n:long>>, hashes binary, leaves binary"
+
+
+def _laying(shared, name: str):
+    """What needs the words: the frequent ones' counts, the others by text, and each token's hash and leaf."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words = trained.value
+        words = shared.value
         lexicon = _lexicon(name, words)
         known = len(lexicon.base)
-        counts = np.concatenate([[words.end_count], words.counts])
-        floor = np.log10(words.leaf_tokens + words.leaf_words + 1)
-        for b in pieces(batches, 2 << 20):
-            numbers, position, sizes, lists = _laid_out(cells(b.column(2)), lexicon)
-            model = np.empty(len(numbers))
-            for i, history, leaves in _blocks(numbers, position, lexicon, words.shape):
-                model[i : i + len(leaves)] = -floor[leaves]
-                for level in range(words.shape.levels):
-                    at, rows, taken = branches(history, leaves, level, words.shape)
+        counts = np.concatenate([[words.end_count], words.counts, [0]])  # the last: any other word's
+        has, log = (counts > 0).astype(np.int64), np.log10(counts + 1.0)
+        for b in pieces(batches):
+            if not b.num_rows:
+                continue
+            numbers, _, sizes, (distinct, among) = _laid_out(b.column(2), lexicon)
+            ends = np.cumsum(sizes)
+            add = lambda x: np.add.reduceat(x, ends - sizes)
+            common = np.minimum(numbers, known)
+            rare_at = np.flatnonzero(numbers >= known)
+            pairs, n = np.unique(np.searchsorted(ends, rare_at, side="right") * (len(distinct) + 1) + among[rare_at], return_counts=True)
+            text, place = np.divmod(pairs, len(distinct) + 1)
+            rare_words = distinct.take(pa.array(place, pa.int64())).cast(pa.binary())
+            offsets = np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([rare_words, pa.array(n, pa.int64())], names=["word", "n"]))
+            parts = np.r_[0, ends]
+            binary = lambda x: pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.array(parts * x.itemsize, pa.int32()).buffers()[1], pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(1), pa.array(sizes), pa.array(add(has[common])), pa.array(add(log[common])), rare,
+                    binary(lexicon.hash_array[numbers]), binary(lexicon.leaf_array[numbers].astype(np.uint16)),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "known", "logs", "rare", "hashes", "leaves"],
+            )
+
+    return run
+
+
+def _scored(trained):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, shape, floor = trained.value
+        for b in pieces(batches):
+            if not b.num_rows:
+                continue
+            hashes, leaves, position, sizes = _read(b)
+            model = np.empty(len(hashes))
+            for i, history, here in _histories(hashes, leaves, position, shape):
+                model[i : i + len(here)] = -floor[here]
+                for level in range(shape.levels):
+                    at, rows, taken = branches(history, here, level, shape)
                     for j in range(0, len(at), STEP):
                         model[i + at[j : j + STEP]] += log_chances(weights, rows[:, j : j + STEP], taken[j : j + STEP]) / np.log(10)
-            frequent = numbers < known
-            c = np.where(frequent, counts[np.minimum(numbers, known - 1)], 0)
-            logs = np.log10(c + 1.0)
-            starts = np.cumsum(sizes) - sizes
-            add = lambda x: np.add.reduceat(x, starts)
-            rare_at = np.flatnonzero(~frequent)
-            cut = np.searchsorted(rare_at, np.r_[starts, len(numbers)])
-            rare_words, rare_counts, ends = [], [], [0]
-            for k, x in enumerate(lists):
-                if cut[k] < cut[k + 1]:
-                    own = Counter([x[i] for i in (rare_at[cut[k] : cut[k + 1]] - starts[k]).tolist()])
-                    rare_words += own
-                    rare_counts += own.values()
-                ends.append(len(rare_words))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(model)), rare],
-                names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"],
-            )
+            sums = pa.array(np.add.reduceat(model, np.cumsum(sizes) - sizes))
+            names = [x for x in b.schema.names if x not in ("hashes", "leaves")]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), sums], names=[*names, "model"])
 
     return run
 
@@ -452,12 +570,15 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.filter(~F.col("held_out"))
     counts = stored(word_counts(training), folder, "words")
     words = vocabulary(counts)
-    model = spark.sparkContext.broadcast((train(training, words), words))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double, rare array<struct<word:binary,n:long>>"
-    scored = stored(rows.mapInArrow(_scored(model, uuid.uuid4().hex), schema).withColumn("row", F.monotonically_increasing_id()), folder, "scores")
+    laid = rows.mapInArrow(_laying(spark.sparkContext.broadcast(words), uuid.uuid4().hex), f"doc_id {kind}, {_LAID}")
+    laid = stored(laid.withColumn("row", F.monotonically_increasing_id()), folder, "tokens")
+    floor = np.log10(words.leaf_tokens + words.leaf_words + 1)
+    model = spark.sparkContext.broadcast((train(laid.filter(~F.col("held_out")), words), words.shape, floor))
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double"
+    scored = laid.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "hashes", "leaves").mapInArrow(_scored(model), schema)
     unusual = counts.filter((F.col("c") < words.least) | (F.length("word") > LONGEST))
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(unusual, "word")
+    rare = laid.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(unusual, "word")
     sums = rare.groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))
     more = F.coalesce("rare_logs", F.lit(0.0))
     n, v = words.n, words.v

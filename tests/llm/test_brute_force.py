@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -716,6 +717,57 @@ def test_maxent_score(spark, monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, cut, strict=True))
 
 
+def test_maxent_laid_out():
+    """Words are those of tokens_of, whatever the blanks, at either end too, and whatever lies before a slice."""
+    texts = ["", None, " a  B\x0b\x0cc\r\n", "\x1cÄ\x85\u3000x\xa0Y \t", " ", *(f"x{chr(k)}Y{chr(k)}" for k in range(128)), "Ça É"]
+    column = pa.array(["before", *texts], pa.string())[1:]
+    for given in ([t and t.encode() for t in texts], column, column.cast(pa.large_string())):
+        lexicon = op9_maxent.Lexicon(None, {}, 2)
+        numbers, position, sizes, (distinct, among) = op9_maxent._laid_out(given, lexicon)
+        assert [lexicon.leaf_array[k] for k in lexicon.numbers.values()] == [op9_maxent.word_leaf(w, {}, 2) for w in lexicon.numbers]
+        names = list(lexicon.numbers)
+        want = [op9_maxent.tokens_of((t or "").encode()) for t in texts]
+        assert [names[k] for k in numbers] == [w for t in want for w in t]
+        assert [(distinct.to_pylist() + [""])[k].encode() for k in among] == [w for t in want for w in t]
+        assert sizes.tolist() == [len(t) for t in want] and position.tolist() == [k for t in want for k in range(len(t))]
+
+
+@pytest.mark.parametrize("joint", [0, 1 << 23])
+def test_maxent_sums(monkeypatch, joint):
+    """Sums of both rounds are those of each token's own softmax; one history met 300,000 times does no harm."""
+    m, rng, shape = op9_maxent, np.random.default_rng(3), op9_maxent.Shape(3, 12)
+    monkeypatch.setattr(m, "JOINT", joint)
+    history = np.repeat(rng.integers(0, 2**63, (5, 40)).astype(np.uint64), 100, axis=1)
+    history = np.concatenate([history, np.repeat(history[:, :1], 300_000, axis=1)], axis=1)
+    leaves = rng.choice([k for k in range(shape.leaves) if k >> 8 >= m.OWN or k % 256 == 0], history.shape[1])
+    for first in (True, False):
+        weights = np.zeros((shape.size, m.CLASSES), np.float32)
+        weights[0 if not first else shape.rows :] = rng.standard_normal(weights[0 if not first else shape.rows :].shape)
+        sums, seen, expected = m.Sums(weights, shape, first), np.zeros((shape.size, m.CLASSES)), np.zeros((shape.size, m.CLASSES))
+        for i in range(0, len(leaves), 1 << 16):
+            sums.add(history[:, i : i + (1 << 16)], leaves[i : i + (1 << 16)])
+        for level in range(3):
+            _, rows, taken = m.branches(history, leaves, level, shape)
+            p = np.exp(sum(weights[r].astype(float) for r in rows))
+            p /= p.sum(axis=1, keepdims=True)
+            for r in rows:
+                for k in range(m.CLASSES):
+                    expected[:, k] += np.bincount(r, p[:, k], shape.size)
+                    seen[:, k] += np.bincount(r, taken == k, shape.size)
+        np.testing.assert_allclose(sums.expected(), expected, rtol=1e-3, atol=1e-3)
+        assert not first or (sums.seen.reshape(-1, m.CLASSES) == seen).all()
+
+
+def test_maxent_rounds_read_no_texts(spark):
+    """Each round reads hashes and leaves of the tokens alone, and a text is split once for all rounds and scores."""
+    rows = spark.createDataFrame([(k, f"a{k % 7} b{k % 3} c") for k in range(50)], "doc_id long, text string")
+    words = op9_maxent.vocabulary(op9_maxent.word_counts(rows).cache())
+    laid = rows.select("doc_id", F.lit(False), "text").mapInArrow(op9_maxent._laying(spark.sparkContext.broadcast(words), "x"), "doc_id long, " + op9_maxent._LAID)
+    assert [len(r.hashes) == 4 * r.n_tokens == 2 * len(r.leaves) for r in laid.collect()] == [True] * 50
+    weights = op9_maxent.train(laid.select("hashes", "leaves"), words)
+    assert weights.shape == (words.shape.size, op9_maxent.CLASSES) and np.abs(weights[: words.shape.rows]).max() > 0.5
+
+
 # --- op10
 
 
